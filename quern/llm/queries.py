@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pii
+from . import langid, mixing, pii, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,48 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model, keep=["doc_id", "held_out"])
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document: sources in code point order weigh 1, 2, 3, repeating."""
+    return mixing.taken(mixing.sized(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
+OP3_SQL = """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS w FROM s
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY 3.0 * source_size / w, w, encode(source) NULLS LAST) AS k,
+         CAST(sum(source_size) OVER () AS BIGINT) AS total, CAST(sum(w) OVER () AS BIGINT) AS ws FROM w
+), c AS (
+  SELECT *, total - 3 * CAST(coalesce(sum(source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest,
+         ws - CAST(coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS left_w FROM o
+), f AS (
+  SELECT *, min(CASE WHEN w * rest <= 3 * source_size * left_w THEN k END) OVER () AS k0 FROM c
+), l AS (
+  SELECT *, max(CASE WHEN k = k0 THEN rest END) OVER () AS r0, max(CASE WHEN k = k0 THEN left_w END) OVER () AS w0 FROM f
+), t AS (
+  SELECT source, source_size, CASE WHEN k0 IS NULL OR k < k0 THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(w * r0 AS DOUBLE) / w0 END AS target FROM l
+), r AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
+         CAST('0x' || substr(md5('20' || ':' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+"""
+
+
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in 40 shards whose counts differ by one at most and whose mixtures agree."""
+    docs = table(spark, sf_dir, "documents")
+    raw = F.encode("text", "UTF-8")
+    narrow = docs.select("doc_id", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce(raw, F.encode(F.lit(""), "UTF-8"))).alias("text_crc32"))
+    placed = sharding.assign(narrow, 40, stratum="source", order=["doc_id", "text_crc32"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def _said(spans):
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
 
@@ -35,7 +77,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_mix": op3_mix,
+    "op7_shards": op7_shards,
     "op10_pii": op10_pii,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_mix": OP3_SQL}
