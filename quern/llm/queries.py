@@ -67,11 +67,16 @@ def _said(spans):
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
 
 
+def _is(value: str):
+    return lambda x: x == value
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and digest of the plain spans, all spans, number of those added."""
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     base = F.filter("spans", lambda x: x["base"])
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    kinds = F.transform(base, lambda x: x["kind"])
+    counts = [F.size(F.filter(kinds, _is(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(F.encode(_said(base), "UTF-8"), 256).alias("base_sha256"), _said(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"))
 
 
