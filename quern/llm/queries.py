@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pii, sharding
+from . import langid, mixing, pieces, pii, sharding
+
+#: A public SentencePiece model; encode and decode take any other.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +57,14 @@ SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u
 """
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The piece ids of every document, and whether decoding gives the very text back."""
+    vocabulary = pieces.load(PIECES)
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    back = pieces.decode(coded, vocabulary)
+    return back.select("doc_id", "n_tokens", "ids", F.octet_length("decoded").cast("long").alias("decoded_bytes"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document in 40 shards whose counts differ by one at most and whose mixtures agree."""
     docs = table(spark, sf_dir, "documents")
@@ -83,6 +94,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_mix": op3_mix,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_shards": op7_shards,
     "op10_pii": op10_pii,
 }
