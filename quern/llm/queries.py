@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pieces, pii, sharding
+from . import htmltext, langid, mixing, pieces, pii, sharding
 
 #: A public SentencePiece model; encode and decode take any other.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -74,6 +74,13 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article's text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = htmltext.extract(pages, htmltext.train(pages), keep=["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def _said(spans):
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
 
@@ -96,6 +103,7 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_shards": op7_shards,
+    "op9_main_text": op9_main_text,
     "op10_pii": op10_pii,
 }
 
