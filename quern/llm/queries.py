@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, mixing, pieces, pii, sharding
+from . import htmltext, langid, media, mixing, pieces, pii, sharding
 
 #: A public SentencePiece model; encode and decode take any other.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -74,6 +74,13 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document kept in a progressive JPEG, read back, with features of its RGB tensor."""
+    stored = media.store(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    read = media.facts(stored, keep=["doc_id", "n_bytes"])
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article's text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -103,6 +110,7 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_shards": op7_shards,
+    "op8_media": op8_media,
     "op9_main_text": op9_main_text,
     "op10_pii": op10_pii,
 }
