@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, media, mixing, pieces, pii, sharding
+from . import htmltext, langid, media, mixing, ngrams, pieces, pii, sharding
 
 #: A public SentencePiece model; encode and decode take any other.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -57,6 +57,11 @@ SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u
 """
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more."""
+    return ngrams.link(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The piece ids of every document, and whether decoding gives the very text back."""
     vocabulary = pieces.load(PIECES)
@@ -108,6 +113,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_mix": op3_mix,
+    "op4_ngram_join": op4_ngram_join,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_shards": op7_shards,
     "op8_media": op8_media,
