@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, media, mixing, ngrams, pieces, pii, sharding
+from . import htmltext, langid, media, mixing, ngrams, pieces, pii, sharding, warc
 
 #: A public SentencePiece model; encode and decode take any other.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -24,6 +24,27 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model, keep=["doc_id", "held_out"])
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through WARC archives, read back by the merged capture index."""
+    index, folder = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_archives(index, folder, payloads=False).drop("url")
+
+
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), d AS (
+  SELECT page_id, CAST(octet_length(b) AS BIGINT) AS n, sha1(b) AS sha FROM p
+), k AS (
+  SELECT *, max(page_id) OVER (PARTITION BY sha, n >= 1000) AS keeper FROM d
+)
+SELECT page_id, n AS payload_bytes, sha AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+FROM k
+"""
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mix takes each document: sources in code point order weigh 1, 2, 3, repeating."""
     return mixing.taken(mixing.sized(table(spark, sf_dir, "documents"), keep=["doc_id"]))
@@ -112,6 +133,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_warc": op2_warc,
     "op3_mix": op3_mix,
     "op4_ngram_join": op4_ngram_join,
     "op6_sentencepiece": op6_sentencepiece,
@@ -121,4 +143,4 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-SQL: dict[str, str] = {"op3_mix": OP3_SQL}
+SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_mix": OP3_SQL}
