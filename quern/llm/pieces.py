@@ -13,7 +13,7 @@ pieces of its UTF-8 bytes. Decoding gives back every text exactly: a literal U+2
 The model file is read, never trained; its path is a parameter, and what is broadcast is its vocabulary.
 
 Defined results: null text: null ids, 0 tokens; empty text: no ids; null ids decode to null; ids outside of the
-vocabulary, and null ones, decode to nothing. Words kept between batches are bounded by ``CACHE``.
+vocabulary, and null ones, decode to nothing. Words kept between batches are bounded by ``2 * CACHE``.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from .common import arrow_map
 
 MARK = "▁"
-#: Words kept by a worker; all go when there are more.
-CACHE = 400_000
+#: Words of each of the two generations that a worker keeps.
+CACHE = 300_000
 #: Longest word that is kept.
 SHORT = 40
 UNKNOWN = 10.0
@@ -43,6 +43,7 @@ class Vocabulary:
     #: N normal, B byte, C control or unknown, - unused
     kinds: str
     cache: dict[str, bytes] = field(default_factory=dict, repr=False)
+    older: dict[str, bytes] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
         return {"pieces": self.pieces, "scores": self.scores, "kinds": self.kinds}
@@ -51,17 +52,19 @@ class Vocabulary:
         self.__init__(**state)
 
     def __post_init__(self):
-        self.score = {p: (s, i) for i, (p, s, k) in enumerate(zip(self.pieces, self.scores, self.kinds)) if k == "N"}
+        self.score = {p: s for p, s, k in zip(self.pieces, self.scores, self.kinds) if k == "N"}
+        self.single = {p: s for p, s in self.score.items() if len(p) == 1}
+        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == "N"}
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == "B"}
         if len(self.bytes) != 256:
             raise ValueError("the vocabulary has no pieces for bytes")
         self.unknown = min(s for s, k in zip(self.scores, self.kinds) if k == "N" and s > -1e8) - UNKNOWN
-        # lengths of the pieces that end in a pair of characters, the longest first
+        # lengths of the pieces that end in a pair of characters, the shortest first
         ends: dict[str, set[int]] = {}
         for p in self.score:
             if len(p) > 1:
                 ends.setdefault(p[-2:], set()).add(len(p))
-        self.ends = {k: sorted(v, reverse=True) for k, v in ends.items()}
+        self.ends = {k: tuple(sorted(v)) for k, v in ends.items()}
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.score if len(p) > 1))
         whole = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.score)
         self.words = re.compile(r"(?s).+" if whole else f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
@@ -70,8 +73,8 @@ class Vocabulary:
 
     def segment(self, words: list[str], into: dict[str, bytes]) -> None:
         """Depth-first over the trie that the sorted, distinct words make."""
-        score, ends, unknown = self.score, self.ends, self.unknown
-        forward, came, by, last = [0.0], [0], [0], ""
+        score, ends, single, unknown, ids = self.score.get, self.ends.get, self.single.get, self.unknown, self.ids.get
+        forward, came, last = [0.0], [0], ""
         for word in words:
             n, at = len(word), 0
             limit = min(n, len(last))
@@ -80,40 +83,39 @@ class Vocabulary:
             else:
                 while word[at] == last[at]:
                     at += 1
-            del forward[at + 1 :], came[at + 1 :], by[at + 1 :]
+            del forward[at + 1 :], came[at + 1 :]
             for end in range(at + 1, n + 1):
-                best, start, piece = float("-inf"), end - 1, -1
-                if end > 1:
-                    for length in ends.get(word[end - 2 : end], ()):
-                        if length <= end:
-                            found = score.get(word[end - length : end])
-                            if found and forward[end - length] + found[0] > best:
-                                best, start, piece = forward[end - length] + found[0], end - length, found[1]
-                single = score.get(word[end - 1])
-                if single:
-                    if forward[end - 1] + single[0] > best:
-                        best, start, piece = forward[end - 1] + single[0], end - 1, single[1]
-                elif forward[end - 1] + unknown > best:
-                    best, start, piece = forward[end - 1] + unknown, end - 1, -1
+                start = end - 1
+                best = forward[start] + single(word[start], unknown)
+                if start:
+                    for length in ends(word[end - 2 : end], ()):
+                        if length > end:
+                            break
+                        found = score(word[end - length : end])
+                        if found is not None:
+                            found += forward[end - length]
+                            if found >= best:  # of equal scores the longer piece
+                                best, start = found, end - length
                 forward.append(best)
                 came.append(start)
-                by.append(piece)
             out, end = [], n
             while end:
-                if by[end] >= 0:
-                    out.append(by[end])
+                start = came[end]
+                piece = ids(word[start:end])
+                if piece is None:
+                    out += [self.bytes[b] for b in reversed(word[start].encode())]
                 else:
-                    out += [self.bytes[b] for b in reversed(word[end - 1].encode())]
-                end = came[end]
+                    out.append(piece)
+                end = start
             out.reverse()
             into[word] = array("i", out).tobytes()
             last = word
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native 32-bit integers."""
-        cache, find = self.cache, self.words.findall
-        if len(cache) > CACHE:
-            cache.clear()
+        if len(self.cache) > CACHE:  # two generations: words that come again move to the young one
+            self.cache, self.older = {}, self.cache
+        cache, older, find = self.cache, self.older, self.words.findall
         split = []
         for text in texts:
             parts = text.split(MARK) if MARK in text else [text]
@@ -122,6 +124,10 @@ class Vocabulary:
             split.append([find(p) for p in parts])
         fresh = {w for parts in split for words in parts for w in words}
         fresh.difference_update(cache)
+        if older:
+            again = fresh & older.keys()
+            cache.update((w, older[w]) for w in again)
+            fresh -= again
         once: dict[str, bytes] = {}
         self.segment(sorted(fresh), once)
         cache.update(x for x in once.items() if len(x[0]) <= SHORT)
