@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, media, mixing, ngrams, pieces, pii, sharding, warc
+from . import htmltext, langid, media, mixing, mtree, ngrams, pieces, pii, sharding, warc
 
 #: A public SentencePiece model; encode and decode take any other.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -83,6 +83,25 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.link(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of every 20th vector by integer inner product."""
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
+
+
+OP5_SQL = """
+WITH q AS (
+  SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The piece ids of every document, and whether decoding gives the very text back."""
     vocabulary = pieces.load(PIECES)
@@ -136,6 +155,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_mix": op3_mix,
     "op4_ngram_join": op4_ngram_join,
+    "op5_top_k": op5_top_k,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_shards": op7_shards,
     "op8_media": op8_media,
@@ -143,4 +163,4 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_mix": OP3_SQL}
+SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_mix": OP3_SQL, "op5_top_k": OP5_SQL}
