@@ -3,12 +3,13 @@
 A text's set is its distinct k-word shingles (ASCII letters lower-cased; words end at ASCII white space; a text of
 fewer words is one shingle), each a 64-bit hash. Two texts link when den * intersection >= num * union.
 
-1. Shingles frequent inside stretches of the corpus are counted over all of it; the most frequent go last in the
-   order of shingles (any order gives the same links; this one keeps candidates few).
-2. Equal sets become one class, combined before the shuffle. Of each class the first n - ceil(n * num / den) + 1
-   shingles in that order are its key shingles: linked sets share one at least.
-3. Classes that share a key shingle are joined to clusters: first inside each stretch of the table, so that a
-   frequent shingle reaches the shuffle once for each stretch, then across them.
+1. Sets are cut into parts by their hashes, as many as linked sets of that size can differ in, and one more, so
+   that linked sets agree in a whole part (pigeonhole). As the number of parts must be the same for both, sizes form
+   intervals whose ends stand in the ratio den / num, and a set is cut for its own interval and for the next.
+   A part's key is a hash of all its shingles: texts that share a passage but are not alike seldom share a key.
+2. Sets that share a key are joined to clusters: first inside each stretch of the table, so that a frequent key
+   reaches the shuffle once for each stretch, then across them.
+3. Equal sets become one class, combined before the shuffle; only one text of each goes on.
 4. The texts of each cluster meet in one task (a cluster too large for one is cut to blocks, and each pair of
    blocks meets), and are searched by DivideSkip: of a query's inverted lists the longest, fewer than the
    required overlap T, are set aside; the others are merged and their counts, with binary probes of the long lists,
@@ -36,10 +37,8 @@ from .graph import components
 
 #: Bytes of text hashed at a time.
 SPAN = 1 << 20
-#: Shingles of a stretch in which frequent ones are counted.
-STRETCH = 4_000_000
-#: Frequent shingles that are remembered (8 bytes each are broadcast).
-FREQUENT = 1 << 17
+#: Keys of a stretch of the table, inside of which sets are joined before the shuffle.
+STRETCH = 1_500_000
 #: Shingles that one search unit holds.
 UNIT = 2_000_000
 
@@ -104,71 +103,47 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.concatenate([begin, [len(x)]]))
 
 
-def frequent(docs: DataFrame, k: int, least: int = 4) -> np.ndarray:
-    """Shingles met in ``least`` texts of a stretch or more, by their counts over all stretches, the rarest first."""
+def intervals(num: int, den: int):
+    """Function from a size to its interval, and from an interval to (parts, empty parts that do no harm)."""
+    tops = [0]
 
-    def run(batches):
-        held, size = [], 0
-
-        def flush():
-            x = np.sort(np.concatenate(held))
-            begin, count = runs(x)
-            many = count >= least
-            return pa.RecordBatch.from_arrays([pa.array(x[begin[many]].view(np.int64)), pa.array(count[many].astype(np.int64))], names=["s", "n"])
+    def of(n: int) -> int:
+        while tops[-1] < n:
+            tops.append((tops[-1] + 1) * den // num)
+        return int(np.searchsorted(tops, n))
 
-        for batch in batches:
-            for part in slices(batch, 0, SPAN):
-                for x in shingles([t or "" for t in part.column(0).to_pylist()], k):
-                    held.append(x)
-                    size += len(x)
-                if size >= STRETCH:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
+    def parts(i: int) -> tuple[int, int]:
+        of(tops[-1] + 1) if i >= len(tops) else None
+        apart = (den - num) * 2 * tops[i] // (den + num)
+        spare = apart // 10 + 2 if apart else 0
+        return apart + 1 + spare, spare
 
-    found = docs.select("t").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
-    s = rows.column("s").to_numpy()[::-1].astype(np.int64).view(np.uint64)
-    return s
+    return of, parts
 
 
-def key_count(n: int, num: int, den: int) -> int:
-    return n - -(-n * num // den) + 1
+def keys_of(x: np.ndarray, i: int, m: int, spare: int) -> np.ndarray:
+    """Keys of the parts of a sorted set for interval i. Empty parts have one only if there are more than ``spare``:
+    sets that agree in nothing but empty parts have m minus the most differences, that is ``spare`` + 1, of them."""
+    part = ((x >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    label = part[begin]
+    sums = np.add.reduceat(mixed(x ^ np.uint64(0x5851F42D4C957F2D)), begin)
+    if m - len(begin) > spare:
+        label, sums = np.concatenate([label, np.setdiff1d(np.arange(m, dtype=np.uint64), label)]), np.concatenate([sums, np.zeros(m - len(begin), np.uint64)])
+    return mixed(sums ^ (label * _base + np.uint64(i * 0x2545F4914F6CDD1D & (1 << 64) - 1)))
 
 
-def sets(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
-    """(id, n, f, keys): number of shingles, fingerprint of the set, key shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def sets(docs: DataFrame, k: int) -> DataFrame:
+    """(id, n, f): number of shingles and fingerprint of the set."""
 
     def factory():
-        by_rank = shared.value
-        rank = np.argsort(by_rank, kind="stable")
-        ordered = by_rank[rank]
-
         def work(texts):
-            n, f, keys = [], [], []
-            for x in shingles([t or "" for t in texts.to_pylist()], k):
-                n.append(len(x))
-                if not len(x):
-                    f.append(None)
-                    keys.append(None)
-                    continue
-                f.append(blake2b(x, digest_size=16).digest())
-                want, chosen = key_count(len(x), num, den), x
-                if len(ordered):
-                    at = np.searchsorted(ordered, x)
-                    at[at == len(ordered)] = 0
-                    often = ordered[at] == x
-                    chosen = x[~often]
-                    if len(chosen) < want:
-                        chosen = np.concatenate([chosen, by_rank[np.sort(rank[at[often]])]])
-                keys.append(chosen[:want].tobytes())
-            return [pa.array(n, pa.int64()), pa.array(f, pa.binary()), pa.array(keys, pa.binary())]
+            found = shingles([t or "" for t in texts.to_pylist()], k)
+            return [pa.array([len(x) for x in found], pa.int64()), pa.array([blake2b(x, digest_size=16).digest() if len(x) else None for x in found], pa.binary())]
 
         return work
 
-    return arrow_map(docs, ["t"], "n long, f binary, keys binary", factory, keep=["id"], budget=SPAN)
+    return arrow_map(docs, ["t"], "n long, f binary", factory, keep=["id"], budget=SPAN)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
@@ -189,35 +164,53 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     return nodes, [find(x) for x in nodes]
 
 
-def clusters(classes: DataFrame) -> DataFrame:
-    """(node, component) of the classes that share key shingles, chains of them included."""
+def candidates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b): pairs that connect the ids of texts that share a key."""
 
     def local(batches):
-        held: list[tuple[int, bytes]] = []
+        of, parts = intervals(num, den)
+        held: dict[bytes, int] = {}
+        drawn: list[np.ndarray] = []
+        owner: list[bytes] = []
+        copies: list[tuple[int, int]] = []
+        size = 0
 
         def flush():
-            ids = np.repeat(np.array([i for i, _ in held], np.int64), [len(b) // 8 for _, b in held])
-            keys = np.frombuffer(b"".join(b for _, b in held), np.int64)
+            nonlocal size
+            ids = np.repeat(np.array([held[f] for f in owner], np.int64), [len(x) for x in drawn])
+            keys = np.concatenate(drawn).view(np.int64)
             order = np.lexsort((ids, keys))
             ids, keys = ids[order], keys[order]
             begin, count = runs(keys)
             head = np.repeat(ids[begin], count)
             more = head != ids
             a, b = forest(ids[more], head[more])
+            same = [(x, held[f]) for f, x in copies if x != held[f]]
+            a, b = a + [x for x, _ in same], b + [x for _, x in same]
             none = pa.nulls(len(a), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(keys[begin]), pa.array(ids[begin]), pa.nulls(len(begin), pa.int64())], names=["s", "a", "b"])
             yield pa.RecordBatch.from_arrays([none, pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["s", "a", "b"])
+            held.clear(), drawn.clear(), owner.clear(), copies.clear()
+            size = 0
 
-        size = 0
         for batch in batches:
-            for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append((i, b))
-                size += len(b) // 8
+            for part in slices(batch, 1, SPAN):
+                for i, x in zip(part.column(0).to_pylist(), shingles(part.column(1).to_pylist(), k)):
+                    if not len(x):
+                        continue
+                    f = blake2b(x, digest_size=16).digest()
+                    copies.append((f, i))
+                    if f in held:
+                        held[f] = min(held[f], i)
+                        continue
+                    held[f] = i
+                    at = of(len(x))
+                    owner.append(f)
+                    drawn.append(np.concatenate([keys_of(x, j, *parts(j)) for j in (at, at + 1)]))
+                    size += len(drawn[-1])
                 if size >= STRETCH:
                     yield from flush()
-                    held.clear()
-                    size = 0
-        if held:
+        if size:
             yield from flush()
 
     def across(batches):
@@ -242,9 +235,9 @@ def clusters(classes: DataFrame) -> DataFrame:
                 x, y = forest(ids[more], heads[more])
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    rows = classes.select("id", "keys").mapInArrow(local, "s long, a long, b long")
+    rows = docs.where("id IS NOT NULL AND t IS NOT NULL").select("id", "t").mapInArrow(local, "s long, a long, b long")
     key = F.coalesce("s", "a")
-    return components(rows.repartition(key).sortWithinPartitions("s", "a").mapInArrow(across, "a long, b long"))
+    return rows.repartition(key).sortWithinPartitions("s", "a").mapInArrow(across, "a long, b long")
 
 
 def merge(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -393,12 +386,22 @@ def links(docs: DataFrame, classes: DataFrame, grouped: DataFrame, k: int, num:
 def link(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(key, n_shingles, component_id), a row for each row of ``df``."""
     docs = df.select(col(key).cast("long").alias("id"), col(text).alias("t"))
-    every = written(sets(docs, k, num, den, frequent(docs, k)), "sets")
-    some = every.where("n > 0 AND id IS NOT NULL")
-    classes = some.groupBy("f").agg(F.min("id").alias("id"), F.min_by("keys", "id").alias("keys"), F.first("n").alias("n"))
+    every = written(sets(docs, k), "sets")
+    classes = every.where("n > 0 AND id IS NOT NULL").groupBy("f").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     classes = written(classes, "classes")
-    grouped = clusters(classes)
-    found = components(links(docs, classes, grouped, k, num, den))
+    # ids of copies give way to their class's
+    copies = every.where("n > 0 AND id IS NOT NULL").select("id", "f").join(classes.select("f", F.col("id").alias("rep")), "f").where("id <> rep")
+    copies = copies.join(classes.select("id"), "id", "left_anti").groupBy("id").agg(F.min("rep").alias("rep"))
+    copies = written(copies, "copies")
+    pairs = written(candidates(docs, k, num, den), "pairs")
+    for end in ("a", "b"):
+        pairs = pairs.join(copies.select(F.col("id").alias(end), F.col("rep").alias(f"{end}_of")), end, "left").withColumn(end, F.coalesce(f"{end}_of", end)).drop(f"{end}_of")
+    grouped = components(pairs)
+    found = links(docs, classes, grouped, k, num, den)
+    # rows of one id are one node, though their texts differ
+    twice = every.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("f").alias("f"), F.max("f").alias("g")).where("f <> g").select("id")
+    tied = every.join(twice, "id", "left_semi").join(classes.select("f", F.col("id").alias("rep")), "f").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    found = components(found.union(tied))
     known = classes.select("f", "id").join(found, F.col("id") == F.col("node"), "left").select(F.col("f").alias("g"), F.coalesce("component", "id").alias("c"))
     out = every.select("id", "n", "f").join(known, F.col("f") == F.col("g"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
