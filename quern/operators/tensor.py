@@ -313,14 +313,16 @@ class Tensor:
         if how != "inner" or not any(shape[i] > 1 for i in shared):
             # both must stand at every coordinate, or nothing is there to join on
             a = a.broadcast(shape)
-            b = b.broadcast(shape) if how == "full" else b
-            shared = [i for i in range(n) if b.shape[i] == shape[i]]
+            one = how == "inner" and not b.sparse and b.size == 1  # a single row, met by all
+            b = b.broadcast(shape) if how == "full" or not one and not any(d > 1 and d == shape[i] for i, d in enumerate(b.shape)) else b
+            shared = [i for i in range(n) if b.shape[i] == shape[i] and not one]
             dims = [a.shape, b.shape]
         left = a.df.select(*[F.col(x(i)).alias(f"l{i}") for i in range(n)], F.col("v").alias("l"))
         right = b.df.select(*[F.col(x(i)).alias(f"r{i}") for i in range(n)], F.col("v").alias("r"))
         on = [F.col(f"l{i}") == F.col(f"r{i}") for i in shared]
         at = [F.coalesce(f"l{i}", f"r{i}") if how == "full" and i in shared else F.col(f"l{i}") if dims[0][i] == shape[i] else F.col(f"r{i}") for i in range(n)]
-        return left.join(right, on, "full_outer" if how == "full" else how).select(*[c.alias(x(i)) for i, c in enumerate(at)], "l", "r"), shape
+        both = left.join(right, on, "full_outer" if how == "full" else how) if on else left.crossJoin(F.broadcast(right))
+        return both.select(*[c.alias(x(i)) for i, c in enumerate(at)], "l", "r"), shape
 
     def expand_to(self, ndim: int) -> Tensor:
         lead = ndim - self.ndim

@@ -39,6 +39,7 @@ class Node:
     __truediv__ = lambda a, b: a._bin("div", b)
     __rtruediv__ = lambda a, b: a._bin("div", b, True)
     __pow__ = lambda a, b: a._bin("pow", b)
+    __rpow__ = lambda a, b: a._bin("pow", b, True)
     __neg__ = lambda a: wrap(-1.0) * a
 
     def __matmul__(self, other: Node) -> Node:

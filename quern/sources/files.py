@@ -36,7 +36,12 @@ def _put_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def _get_text(spark: SparkSession, path: str) -> str:
-    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    fs, where = filesystem(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def save(obj: Table | OrderedSet | Tensor, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
