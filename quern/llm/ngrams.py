@@ -3,19 +3,23 @@
 A text's set is its distinct k-word shingles (ASCII letters lower-cased; words end at ASCII white space; a text of
 fewer words is one shingle), each a 64-bit hash. Two texts link when den * intersection >= num * union.
 
-1. Sets are cut into parts by their hashes, as many as linked sets of that size can differ in, and one more, so
-   that linked sets agree in a whole part (pigeonhole). As the number of parts must be the same for both, sizes form
-   intervals whose ends stand in the ratio den / num, and a set is cut for its own interval and for the next.
-   A part's key is a hash of all its shingles: texts that share a passage but are not alike seldom share a key.
-2. Sets that share a key are joined to clusters: first inside each stretch of the table, so that a frequent key
+1. Shingles met in several texts of one stretch of the corpus are counted over all stretches; the most frequent
+   ones are broadcast (``FREQUENT`` at most) and set aside in step 2. Which ones they are changes no result.
+2. Sets without them are cut into parts by their hashes, as many as linked sets of that size can differ in, and some
+   more, so that linked sets agree in a whole part (pigeonhole; leaving shingles out of both only shrinks their
+   difference). As the number of parts must be the same for both, sizes form intervals whose ends stand in the
+   ratio den / num, and a set is cut for its own interval and for the next. A part's key is a hash of its shingles.
+   A set of which so much is set aside that too many parts are empty is cut a second time with all its shingles;
+   of two sets that agree in empty parts only, both are.
+3. Sets that share a key are joined to clusters: first inside each stretch of the table, so that a frequent key
    reaches the shuffle once for each stretch, then across them.
-3. Equal sets become one class, combined before the shuffle; only one text of each goes on.
-4. The texts of each cluster meet in one task (a cluster too large for one is cut to blocks, and each pair of
+4. Equal sets become one class, combined before the shuffle; only one text of each goes on.
+5. The texts of each cluster meet in one task (a cluster too large for one is cut to blocks, and each pair of
    blocks meets), and are searched by DivideSkip: of a query's inverted lists the longest, fewer than the
    required overlap T, are set aside; the others are merged and their counts, with binary probes of the long lists,
    decide which records reach T. Records already connected to the query are skipped: of linked texts, enough links
    for the connected components are kept, not all pairs.
-5. Connected components give each document the smallest id reachable.
+6. Connected components give each document the smallest id reachable.
 
 Collisions of 64-bit hashes inside a cluster are the only inexactness. Defined results: null and word-free texts
 have no shingle and no link, their component is their own id. Rows of one id are one node. Rows with a null id are
@@ -39,6 +43,9 @@ from .graph import components
 SPAN = 1 << 20
 #: Keys of a stretch of the table, inside of which sets are joined before the shuffle.
 STRETCH = 1_500_000
+#: Frequent shingles set aside (8 bytes each are broadcast), and shingles of a stretch in which they are counted.
+FREQUENT = 1 << 17
+COUNTED = 4_000_000
 #: Shingles that one search unit holds.
 UNIT = 2_000_000
 
@@ -115,22 +122,71 @@ def intervals(num: int, den: int):
     def parts(i: int) -> tuple[int, int]:
         of(tops[-1] + 1) if i >= len(tops) else None
         apart = (den - num) * 2 * tops[i] // (den + num)
-        spare = apart // 10 + 2 if apart else 0
+        spare = apart // 5 + 2 if apart else 0
         return apart + 1 + spare, spare
 
     return of, parts
 
 
-def keys_of(x: np.ndarray, i: int, m: int, spare: int) -> np.ndarray:
-    """Keys of the parts of a sorted set for interval i. Empty parts have one only if there are more than ``spare``:
-    sets that agree in nothing but empty parts have m minus the most differences, that is ``spare`` + 1, of them."""
+def keys_of(x: np.ndarray, i: int, m: int, spare: int, salt: int, empties: bool) -> tuple[np.ndarray, bool]:
+    """Keys of the parts of a sorted set for interval i, and whether more than ``spare`` parts are empty.
+
+    Sets that agree in nothing but empty parts have m minus the most differences, that is ``spare`` + 1, of them;
+    only then, and with ``empties``, do empty parts have keys.
+    """
     part = ((x >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    begin = runs(part)[0]
     label = part[begin]
-    sums = np.add.reduceat(mixed(x ^ np.uint64(0x5851F42D4C957F2D)), begin)
-    if m - len(begin) > spare:
+    sums = np.add.reduceat(mixed(x ^ np.uint64(0x5851F42D4C957F2D)), begin) if len(x) else np.zeros(0, np.uint64)
+    many = m - len(begin) > spare
+    if many and empties:
         label, sums = np.concatenate([label, np.setdiff1d(np.arange(m, dtype=np.uint64), label)]), np.concatenate([sums, np.zeros(m - len(begin), np.uint64)])
-    return mixed(sums ^ (label * _base + np.uint64(i * 0x2545F4914F6CDD1D & (1 << 64) - 1)))
+    return mixed(sums ^ (label * _base + np.uint64((2 * i + salt + 1) * 0x2545F4914F6CDD1D & (1 << 64) - 1))), many
+
+
+def frequent(docs: DataFrame, k: int, least: int = 3) -> np.ndarray:
+    """The shingles met most, of those in ``least`` texts of a stretch or more; sorted."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            x = np.sort(np.concatenate(held))
+            begin, count = runs(x)
+            many = count >= least
+            return pa.RecordBatch.from_arrays([pa.array(x[begin[many]].view(np.int64)), pa.array(count[many].astype(np.int64))], names=["s", "n"])
+
+        for batch in batches:
+            for part in slices(batch, 0, SPAN):
+                for x in shingles([t or "" for t in part.column(0).to_pylist()], k):
+                    held.append(x)
+                    size += len(x)
+                if size >= COUNTED:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    found = docs.select("t").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    rows = found.orderBy(F.desc("n"), "s").limit(FREQUENT).select("s").toArrow()
+    return np.sort(rows.column("s").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def all_keys(x: np.ndarray, often: np.ndarray, of, parts) -> np.ndarray:
+    at = of(len(x))
+    rare = x
+    if len(often):
+        near = np.searchsorted(often, x)
+        near[near == len(often)] = 0
+        rare = x[often[near] != x]
+    out, again = [], False
+    for j in (at, at + 1):
+        keys, many = keys_of(rare, j, *parts(j), 0, False)
+        out.append(keys)
+        again |= many
+    if again:
+        out += [keys_of(x, j, *parts(j), 1, True)[0] for j in (at, at + 1)]
+    return np.concatenate(out)
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
@@ -166,9 +222,10 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
 
 def candidates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(a, b): pairs that connect the ids of texts that share a key."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))
 
     def local(batches):
-        of, parts = intervals(num, den)
+        (of, parts), often = intervals(num, den), shared.value
         held: dict[bytes, int] = {}
         drawn: list[np.ndarray] = []
         owner: list[bytes] = []
@@ -204,9 +261,8 @@ def candidates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                         held[f] = min(held[f], i)
                         continue
                     held[f] = i
-                    at = of(len(x))
                     owner.append(f)
-                    drawn.append(np.concatenate([keys_of(x, j, *parts(j)) for j in (at, at + 1)]))
+                    drawn.append(all_keys(x, often, of, parts))
                     size += len(drawn[-1])
                 if size >= STRETCH:
                     yield from flush()
@@ -347,14 +403,15 @@ def links(docs: DataFrame, classes: DataFrame, grouped: DataFrame, k: int, num:
     large = written(large, "large")
     few = large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     nodes = nodes.join(F.broadcast(large) if few else large, "component", "left")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    nodes = nodes.select("node", "component", "blocks")
+    few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = docs.where("id IS NOT NULL AND t IS NOT NULL").join(F.broadcast(nodes) if few else nodes, F.col("id") == F.col("node"))
     # a block meets each block, itself too: unit (i, j), i <= j
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     units = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
     )
-    nodes = nodes.select("node", "component", units.alias("units"))
-    few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.where("id IS NOT NULL AND t IS NOT NULL").join(F.broadcast(nodes) if few else nodes, F.col("id") == F.col("node")).select("id", "t", "component", F.explode("units").alias("u")).select("id", "t", "component", "u.i", "u.j")
+    texts = texts.select("id", "t", "component", F.explode(units).alias("u")).select("id", "t", "component", "u.i", "u.j")
     texts = texts.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "id")
 
     def run(batches):
