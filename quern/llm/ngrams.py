@@ -40,14 +40,14 @@ from .common import BROADCAST_ROWS, arrow_map, col, slices, written
 from .graph import components
 
 #: Bytes of text hashed at a time.
-SPAN = 1 << 20
+SPAN = 1 << 19
 #: Keys of a stretch of the table, inside of which sets are joined before the shuffle.
-STRETCH = 1_500_000
+STRETCH = 800_000
 #: Frequent shingles set aside (8 bytes each are broadcast), and shingles of a stretch in which they are counted.
 FREQUENT = 1 << 17
-COUNTED = 4_000_000
+COUNTED = 3_000_000
 #: Shingles that one search unit holds.
-UNIT = 2_000_000
+UNIT = 1_000_000
 
 _rng = np.random.default_rng(2024)
 _byte = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

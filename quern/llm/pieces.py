@@ -30,7 +30,7 @@ from .common import arrow_map
 
 MARK = "▁"
 #: Words of each of the two generations that a worker keeps.
-CACHE = 300_000
+CACHE = 150_000
 #: Longest word that is kept.
 SHORT = 40
 UNKNOWN = 10.0
@@ -156,8 +156,12 @@ def load(path: str) -> Vocabulary:
     return Vocabulary([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], kinds)
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The rows with ``ids array<int>`` and ``n_tokens long``; one pass over whole texts, no shuffle."""
+def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None, check: bool = False) -> DataFrame:
+    """The rows with ``ids array<int>`` and ``n_tokens long``; one pass over whole texts, no shuffle.
+
+    With ``check`` the ids are decoded in the same pass: ``decoded_bytes long`` and ``round_trip boolean``, whether
+    the text came back (null ids for null text did).
+    """
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def factory():
@@ -170,11 +174,16 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list
             ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(found), np.int32))
             mask = pa.array([t is None for t in rows])
-            return [pa.ListArray.from_arrays(pa.array(ends), values, mask=mask), pa.array(counts)]
+            out = [pa.ListArray.from_arrays(pa.array(ends), values, mask=mask), pa.array(counts)]
+            if check:
+                back = [None if t is None else v.decode(np.frombuffer(b, np.int32).tolist()) for t, b in zip(rows, found)]
+                out += [pa.array([None if x is None else len(x.encode()) for x in back], pa.int64()), pa.array([x == t for x, t in zip(back, rows)], pa.bool_())]
+            return out
 
         return work
 
-    return arrow_map(df, [text], "ids array<int>, n_tokens long", factory, keep, budget=1_000_000)
+    more = ", decoded_bytes long, round_trip boolean" if check else ""
+    return arrow_map(df, [text], "ids array<int>, n_tokens long" + more, factory, keep, budget=1_000_000)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
