@@ -21,6 +21,8 @@ from .common import BROADCAST_ROWS, col, written
 
 #: Words as maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Names of the columns that the steps add.
+OWN = ("size", "source_size", "target", "taken", "copies", "__source", "__key", "__rate", "__of")
 
 
 def words(text: str) -> Column:
@@ -28,8 +30,8 @@ def words(text: str) -> Column:
 
 
 def sized(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """Columns kept (all, if None) with ``size``, ``__source`` and ``__key``."""
-    kept = [c for c in (df.columns if keep is None else keep) if c not in ("size", "__source", "__key")]
+    """Columns kept (all, if None) with ``size``, ``__source`` and ``__key``; a kept column of a result's name goes."""
+    kept = [c for c in (df.columns if keep is None else keep) if c not in OWN]
     return df.select(*[col(c) for c in kept], words(text).alias("size"), col(source).alias("__source"), col(key).cast("string").alias("__key"))
 
 
@@ -79,5 +81,7 @@ def taken(rows: DataFrame, **how) -> DataFrame:
 
 def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
     """The mixed corpus: each row ``copies`` times, with the columns of ``df``."""
-    rows = rated(sized(df, text, source, key), **how)
-    return rows.withColumn("__copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))).otherwise(F.array().cast("array<int>")))).select(*[col(c) for c in df.columns])
+    whole = df.select(F.struct(*[col(c) for c in df.columns]).alias("__row"), col(text).alias("__text"), col(source).alias("__from"), col(key).alias("__id"))
+    rows = rated(sized(whole, "__text", "__from", "__id", keep=["__row"]), **how)
+    copy = F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))).otherwise(F.array().cast("array<int>")))
+    return rows.select("__row", copy.alias("__copy")).select("__row.*")
