@@ -316,16 +316,21 @@ for _op, _sql in _COMPLEX_SQL.items():
 
 # -- tuples, maps, strings
 
-_E = F.col("embedding")
+
+
+def _emb():
+    return F.col("embedding")
+
+
 _TUPLES = {
-    "index": (lambda: C.at(_E, 3).cast("double"), "CAST(embedding[4] AS DOUBLE)"), "index_negative": (lambda: C.at(_E, -1).cast("double"), "CAST(embedding[64] AS DOUBLE)"),
-    "slice": (lambda: F.round(C.total(C.cut(_E, 2, 10)), 5), "round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding[3:10]]), 5)"), "append": (lambda: C.length(C.append(_E, F.lit(1.0).cast("float"))), "CAST(len(list_append(embedding, 1.0)) AS BIGINT)"),
-    "concatenate": (lambda: C.length(C.concatenate(_E, _E)), "CAST(len(list_concat(embedding, embedding)) AS BIGINT)"), "contains": (lambda: C.contains(_E, C.at(_E, 0)), "list_contains(embedding, embedding[1])"),
-    "len": (lambda: C.length(_E), "CAST(len(embedding) AS BIGINT)"), "eq": (lambda: C.equal(_E, C.cut(_E, 0, 64)), "embedding = embedding[1:64]"), "map": (lambda: F.round(C.total(C.mapped(_E, lambda x: x.cast("double") * 2)), 5), "round(list_sum([CAST(x AS DOUBLE) * 2 FOR x IN embedding]), 5)"),
-    "fold": (lambda: F.round(C.fold(_E, F.lit(0.0), lambda a, x: a + x.cast("double")), 5), "round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding]), 5)"), "filter": (lambda: C.length(C.filtered(_E, lambda x: x > 0)), "CAST(len([x FOR x IN embedding IF x > 0]) AS BIGINT)"),
-    "zip": (lambda: C.length(C.filtered(C.zipped(_E, C.cut(_E, 0, 64)), lambda p: p["l"] == p["r"])), "CAST(64 AS BIGINT)"), "range": (lambda: C.length(C.span(F.col("label") + 1, 20, 3)), "CAST(len(range(label + 1, 20, 3)) AS BIGINT)"),
-    "product": (lambda: F.round(C.product(C.mapped(C.cut(_E, 0, 3), lambda x: x.cast("double") + 2)), 5), "round((CAST(embedding[1] AS DOUBLE) + 2) * (CAST(embedding[2] AS DOUBLE) + 2) * (CAST(embedding[3] AS DOUBLE) + 2), 5)"),
-    "is_none": (lambda: C.is_none(C.filtered(_E, lambda x: x > 1000), "tuple"), "true"),
+    "index": (lambda: C.at(_emb(), 3).cast("double"), "CAST(embedding[4] AS DOUBLE)"), "index_negative": (lambda: C.at(_emb(), -1).cast("double"), "CAST(embedding[64] AS DOUBLE)"),
+    "slice": (lambda: F.round(C.total(C.cut(_emb(), 2, 10)), 5), "round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding[3:10]]), 5)"), "append": (lambda: C.length(C.append(_emb(), F.lit(1.0).cast("float"))), "CAST(len(list_append(embedding, 1.0)) AS BIGINT)"),
+    "concatenate": (lambda: C.length(C.concatenate(_emb(), _emb())), "CAST(len(list_concat(embedding, embedding)) AS BIGINT)"), "contains": (lambda: C.contains(_emb(), C.at(_emb(), 0)), "list_contains(embedding, embedding[1])"),
+    "len": (lambda: C.length(_emb()), "CAST(len(embedding) AS BIGINT)"), "eq": (lambda: C.equal(_emb(), C.cut(_emb(), 0, 64)), "embedding = embedding[1:64]"), "map": (lambda: F.round(C.total(C.mapped(_emb(), lambda x: x.cast("double") * 2)), 5), "round(list_sum([CAST(x AS DOUBLE) * 2 FOR x IN embedding]), 5)"),
+    "fold": (lambda: F.round(C.fold(_emb(), F.lit(0.0), lambda a, x: a + x.cast("double")), 5), "round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding]), 5)"), "filter": (lambda: C.length(C.filtered(_emb(), lambda x: x > 0)), "CAST(len([x FOR x IN embedding IF x > 0]) AS BIGINT)"),
+    "zip": (lambda: C.length(C.filtered(C.zipped(_emb(), C.cut(_emb(), 0, 64)), lambda p: p["l"] == p["r"])), "CAST(64 AS BIGINT)"), "range": (lambda: C.length(C.span(F.col("label") + 1, 20, 3)), "CAST(len(range(label + 1, 20, 3)) AS BIGINT)"),
+    "product": (lambda: F.round(C.product(C.mapped(C.cut(_emb(), 0, 3), lambda x: x.cast("double") + 2)), 5), "round((CAST(embedding[1] AS DOUBLE) + 2) * (CAST(embedding[2] AS DOUBLE) + 2) * (CAST(embedding[3] AS DOUBLE) + 2), 5)"),
+    "is_none": (lambda: C.is_none(C.filtered(_emb(), lambda x: x > 1000), "tuple"), "true"),
 }
 for _op, (_fn, _sql) in _TUPLES.items():
     query(f"tuple_{_op}", f"SELECT vec_id, {_sql} AS v FROM embeddings")(lambda s, d, fn=_fn: read(s, d, "embeddings").select("vec_id", fn().alias("v")))
