@@ -63,6 +63,21 @@ def link_parts(x: Column) -> Column:
     return F.struct(get("PROTOCOL").alias("protocol"), get("HOST").alias("host"), get("PATH").alias("path"))
 
 
+def class_of(x) -> str:
+    """The class path of a value, table, set, tensor, column or operation."""
+    kind = type(x).__name__
+    if isinstance(x, bool):
+        return "scalar/value/number/bool"
+    if x is None:
+        return "scalar/value/none"
+    for t, path in ((int, "scalar/value/number/int/64"), (float, "scalar/value/number/float/64"), (complex, "scalar/value/number/complex/64"), (str, "scalar/value/string"), (bytes, "scalar/value/bytes"), (tuple, "scalar/tuple"), (list, "scalar/tuple"), (dict, "scalar/map")):
+        if isinstance(x, t):
+            return path
+    if kind == "Tensor":
+        return "collection/tensor/" + ("sparse" if x.sparse else "dense")
+    return {"Table": "collection/table", "OrderedSet": "collection/btree", "Op": "scalar/op", "Store": "chain", "Column": "scalar/ref"}.get(kind, "object/" + kind)
+
+
 def state_hash(df: DataFrame) -> DataFrame:
     """SHA-256 over all rows whatever their order: row hashes are folded by addition in fixed chunks, then hashed.
 

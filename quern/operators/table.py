@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import Conflict, NotFound, QueryError
 from ..ranges import contained, predicate
 from ..schema import TableSchema
+from ..sources.storage import written
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,10 @@ class Table:
         df = schema.validate(df.select(*schema.names))
         return Table(df if unique or not schema.key else df.dropDuplicates(schema.key_names), schema)
 
+    def copy(self) -> Table:
+        """A base table with this view's rows, materialised in the shared folder."""
+        return Table(written(self.rows() if self.most is not None else self.df.select(*self.columns), "table"), self.schema)
+
     # -- introspection
 
     @property

@@ -23,6 +23,7 @@ from ..errors import QueryError, Unsupported
 from ..functions import number as N
 from ..ranges import axes as parse_axes
 from ..schema import TensorSchema, promote, spark_type
+from ..sources.storage import written
 from . import shape as S
 
 FLOATS = ("f32", "f64")
@@ -58,7 +59,7 @@ class Tensor:
     @staticmethod
     def _grid(spark: SparkSession, shape: S.Shape) -> DataFrame:
         steps = S.strides(shape)
-        return spark.range(S.size(shape)).select("id", *[(F.floor(F.col("id") / step) % dim if step > 1 else F.col("id") % dim).cast("long").alias(x(i)) for i, (dim, step) in enumerate(zip(shape, steps))])
+        return spark.range(S.size(shape)).select("id", *[F.expr(f"(id DIV {step}) % {dim}").cast("long").alias(x(i)) for i, (dim, step) in enumerate(zip(shape, steps))])
 
     @staticmethod
     def _made(spark, dtype: str, shape: S.Shape, value: Callable[[Column], Column]) -> Tensor:
@@ -224,6 +225,10 @@ class Tensor:
     def filled_at(self, axes) -> DataFrame:
         return self.df.select(*[x(i) for i in S.some_axes(axes, self.ndim)]).distinct()
 
+    def copy(self) -> Tensor:
+        """Materialised in the shared folder: later reads don't repeat this tensor's plan."""
+        return self._like(written(self.df, "tensor"))
+
     def to_numpy(self) -> np.ndarray:
         """For small tensors: the only read that brings all elements to the driver."""
         kind = {"bool": bool, "f32": np.float32, "f64": np.float64, "c32": complex, "c64": complex}.get(self.dtype, np.int64)

@@ -75,6 +75,14 @@ def test_writes(spark):
     assert merged.count() == 49 and merged.read(("one",))["views"] == 7 and merged.read(("new",)) is None
 
 
+def test_copies_and_classes(spark):
+    from quern.functions.values import class_of
+
+    t = names(spark, 5)
+    assert t.where(views=slice(1, 3)).copy().upsert(("x",), (9,)).count() == 3 and t.limit(2).copy().count() == 2
+    assert class_of(t) == "collection/table" and class_of(1) == "scalar/value/number/int/64" and class_of(None) == "scalar/value/none"
+
+
 def test_null_is_a_key(spark):
     t = Table.load(spark, TableSchema.of([("k", "i64")], [("v", "i64")]), [(None, 1), (2, 2)])
     assert t.rows().first()["k"] is None and t.upsert((None,), (5,)).count() == 2 and t.where(k=None).count() == 1
