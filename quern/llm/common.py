@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Rows up to which a table is broadcast; above it, every caller shuffles.
 BROADCAST_ROWS = 200_000
+#: Rows of an Arrow batch.
+BATCH = 2000
 
 
 def col(name: str):
@@ -75,12 +77,20 @@ def slices(batch: pa.RecordBatch, index: int, budget: int):
         at = to
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: unless the session says otherwise, Arrow batches hold BATCH rows, not Spark's 10,000."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH))
+
+
 def arrow_map(df: DataFrame, inputs: list[str], outputs: str | T.StructType, factory, keep: list[str] | None = None, budget: int = 2_000_000) -> DataFrame:
     """Add columns that ``factory()(*input arrays) -> list of arrays`` makes, batch by batch, with no shuffle.
 
     ``keep``: columns that pass through (all, if None). An output replaces a kept column of its name.
     The function sees parts of at most ``budget`` bytes of the first input, or one row.
     """
+    small_batches(df.sparkSession)
     added = T._parse_datatype_string(outputs) if isinstance(outputs, str) else outputs
     names = set(added.names)
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]

@@ -30,7 +30,7 @@ from .common import arrow_map
 
 MARK = "▁"
 #: Words of each of the two generations that a worker keeps.
-CACHE = 150_000
+CACHE = 120_000
 #: Longest word that is kept.
 SHORT = 40
 UNKNOWN = 10.0
@@ -183,7 +183,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list
         return work
 
     more = ", decoded_bytes long, round_trip boolean" if check else ""
-    return arrow_map(df, [text], "ids array<int>, n_tokens long" + more, factory, keep, budget=1_000_000)
+    return arrow_map(df, [text], "ids array<int>, n_tokens long" + more, factory, keep, budget=500_000)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
