@@ -433,6 +433,15 @@ tensor_query("gram_matrix", "SELECT a.x1 AS x0, b.x1, round(sum(a.v * b.v), 3) +
 tensor_query("argsort", "SELECT row_number() OVER (ORDER BY v, x1) - 1 AS x0, x1 AS v FROM r", lambda e: e.slice((0,)).argsort(), None)
 query("tensor_count_filled", E_SQL + "SELECT count(*) AS n FROM e WHERE v > 1")(lambda s, d: matrix(s, d).binary("gt", 1).to_sparse().df.agg(F.count("*").alias("n")))
 
+# whole tables: every row and component takes part (the queries above of the same names take prefixes)
+tensor_query("product_axis_whole", "SELECT x0, round(product(1 + v / 8), 6) + 0.0 AS v FROM e GROUP BY x0", lambda e: (e / 8 + 1).product(1))
+tensor_query("product_all_whole", "SELECT round(product(1 + v / (64 * (SELECT max(x0) + 1 FROM e))), 8) + 0.0 AS v FROM e", lambda e: (e / (64 * e.shape[0]) + 1).product(), 8)
+tensor_query("matmul_whole", "SELECT a.x1 AS x0, b.x1, round(sum(a.v * b.v), 3) + 0.0 AS v FROM e a JOIN e b ON a.x0 = b.x0 GROUP BY a.x1, b.x1", lambda e: e.transpose() @ e, 3)
+tensor_query("matmul_blocked_whole", "SELECT a.x1 AS x0, b.x1, round(sum(a.v * b.v), 3) + 0.0 AS v FROM e a JOIN e b ON a.x0 = b.x0 GROUP BY a.x1, b.x1", lambda e: e.transpose().matmul(e, blocks=64), 3)
+tensor_query("matmul_batch_whole", "SELECT a.x0, a.x1 // 8 AS x1, b.x1 % 8 AS x2, round(sum(a.v * b.v), 4) + 0.0 AS v FROM e a JOIN e b ON a.x0 = b.x0 AND a.x1 % 8 = b.x1 // 8 GROUP BY 1, 2, 3", lambda e: e.reshape((None, 8, 8)) @ e.reshape((None, 8, 8)), 4)
+tensor_query("einsum_ij_jk_ik_whole", ", g AS (SELECT a.x1 AS x0, b.x1, sum(a.v * b.v) AS v FROM e a JOIN e b ON a.x0 = b.x0 GROUP BY a.x1, b.x1) SELECT e.x0, g.x1, round(sum(e.v * g.v), 3) + 0.0 AS v FROM e JOIN g ON e.x1 = g.x0 GROUP BY e.x0, g.x1", lambda e: einsum("ij,jk->ik", [e, einsum("ij,ik->jk", [e, e])]), 3)
+tensor_query("einsum_ijk_jil_il_whole", "SELECT a.x0, b.x1 % 8 AS x1, round(sum(a.v * b.v), 4) + 0.0 AS v FROM e a JOIN e b ON a.x0 = b.x0 AND a.x1 // 8 = b.x1 // 8 GROUP BY 1, 2", lambda e: (lambda m: einsum("ijk,jil->il", [m, m.transpose([1, 0, 2])]))(e.reshape((None, 8, 8))), 4)
+
 query("tensor_arange", "SELECT CAST(i // 12 AS BIGINT) AS x0, CAST((i // 4) % 3 AS BIGINT) AS x1, CAST(i % 4 AS BIGINT) AS x2, CAST(1 + i * 2 AS BIGINT) AS v FROM range(24) t(i)")(lambda s, d: Tensor.arange(s, (2, 3, 4), 1, 49).df)
 query("tensor_arange_float", "SELECT CAST(i AS BIGINT) AS x0, round(0.5 + i * 0.25, 6) AS v FROM range(10) t(i)")(lambda s, d: out(Tensor.arange(s, (10,), 0.5, 3.0)))
 query("tensor_constant", "SELECT CAST(i // 3 AS BIGINT) AS x0, CAST(i % 3 AS BIGINT) AS x1, 1.5::DOUBLE AS v FROM range(6) t(i)")(lambda s, d: Tensor.constant(s, (2, 3), 1.5).df)
@@ -483,6 +492,8 @@ for _name, _sql, _fn in (
 query("sparse_filled_at", _P + "SELECT DISTINCT x0 FROM p")(lambda s, d: sparse(s, d).filled_at(0))
 query("sparse_to_dense", _P + "SELECT CAST(i AS BIGINT) AS x0, CAST(j AS BIGINT) AS x1, round(coalesce(v, 0), 4) + 0.0 AS v FROM range(20) a(i) CROSS JOIN range(8) b(j) LEFT JOIN p ON x0 = i AND x1 = j")(lambda s, d: out(sparse(s, d).slice((slice(0, 20), slice(0, 8))).to_dense(), 4))
 query("sparse_dense_mul", _P + "SELECT x0, x1, round(v * x1, 4) + 0.0 AS v FROM p WHERE x1 <> 0")(lambda s, d: (lambda p: out(p * Tensor.arange(s, (p.shape[1],), 0, p.shape[1]), 4))(sparse(s, d)))
+query("sparse_matmul_whole", _P + "SELECT a.x0, b.x0 AS x1, round(sum(a.v * b.v), 3) + 0.0 AS v FROM q a JOIN q b ON a.x1 = b.x1 GROUP BY 1, 2")(lambda s, d: (lambda q: out(q @ q.transpose(), 3))(sparse(s, d, "q")))
+query("sparse_to_dense_whole", _P + "SELECT CAST(i AS BIGINT) AS x0, CAST(j AS BIGINT) AS x1, round(coalesce(v, 0), 4) + 0.0 AS v FROM range((SELECT max(l_partkey) + 1 FROM lineitem)) a(i) CROSS JOIN range((SELECT max(l_suppkey) + 1 FROM lineitem)) b(j) LEFT JOIN p ON x0 = i AND x1 = j")(lambda s, d: out(sparse(s, d).to_dense(), 4))
 
 # -- graphs
 
@@ -566,6 +577,18 @@ query("linalg_plu_reconstruct", E_SQL + "SELECT x0, x1 // 8 AS x1, x1 % 8 AS x2,
 query("linalg_det", E_SQL + "SELECT a.x0, CAST(0 AS BIGINT) AS x1, round(a.v * d.v - b.v * c.v, 4) + 0.0 AS v FROM e a JOIN e b ON a.x0 = b.x0 JOIN e c ON a.x0 = c.x0 JOIN e d ON a.x0 = d.x0 WHERE a.x1 = 0 AND b.x1 = 1 AND c.x1 = 2 AND d.x1 = 3")(lambda s, d: (lambda e: out(linalg.t_det(e.slice((slice(None), slice(0, 4))).reshape((e.shape[0], 2, 2))), 4))(matrix(s, d)))
 query("linalg_slogdet")(lambda s, d: linalg.t_slogdet(_matrices(s, d)).df)
 query("linalg_svd_values")(lambda s, d: linalg.t_svd(_matrices(s, d))[1].df)
+
+
+def _all_matrices(s, d) -> Tensor:
+    return matrix(s, d).reshape((None, 8, 8))
+
+
+_ALL_SQL = E_SQL + "SELECT x0, x1 // 8 AS x1, x1 % 8 AS x2, round(v, 4) + 0.0 AS v FROM e"
+query("linalg_qr_reconstruct_whole", _ALL_SQL)(lambda s, d: (lambda q, r: out(q @ r, 4))(*linalg.t_qr(_all_matrices(s, d))))
+query("linalg_plu_reconstruct_whole", _ALL_SQL)(lambda s, d: (lambda p, l, u: out(p @ (l @ u), 4))(*linalg.t_plu(_all_matrices(s, d))))
+query("linalg_det_whole")(lambda s, d: linalg.t_det(_all_matrices(s, d)).df)
+query("linalg_slogdet_whole")(lambda s, d: linalg.t_slogdet(_all_matrices(s, d)).df)
+query("linalg_svd_values_whole")(lambda s, d: linalg.t_svd(_all_matrices(s, d))[1].df)
 query("autodiff_column", "SELECT c_custkey, round(-sin(c_acctbal / 1000) * exp(c_acctbal / 10000) + cos(c_acctbal / 1000) * exp(c_acctbal / 10000) / 10, 6) + 0.0 AS v FROM customer")(
     lambda s, d: read(s, d, "customer").select("c_custkey", (F.round(ad.column(ad.gradients(ad.cos(ad.var("x")) * ad.exp(ad.var("x") / 10.0), ["x"])["x"], {"x": F.col("c_acctbal") / 1000}), 6) + F.lit(0.0)).alias("v"))
 )
