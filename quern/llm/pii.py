@@ -5,7 +5,9 @@ Three transducers rewrite a text and keep, for each character that they emit, th
 1. homoglyphs: look-alikes of other scripts, full-width forms, foreign decimal digits, odd dashes and dots become
    ASCII; zero-width characters vanish;
 2. spelled digits: runs of five or more digit words (of four languages, "plus" and "dot" among them) become digits;
-3. disguises: bracketed or spelled-out "at" and "dot" between the parts of an address become ``@`` and ``.``.
+   shorter ones, and words or disguised dots among numerals, do so if the whole then is a card, IP or phone number;
+3. disguises: bracketed or spelled-out "at" and "dot" between the parts of an address become ``@`` and ``.``; a plain
+   ``@`` will do if a dot of its domain is disguised.
 
 Identifiers are detected in the source (these are the base spans, always kept) and, only if something was
 rewritten, in the rewritten text; spans of the latter that hold a rewritten character and lie in no base span of
@@ -115,13 +117,21 @@ WORD = re.compile(rf"\b(?:{_name})\b", re.I)
 NAMES = frozenset(NAMED)
 
 
+def kind_of(word: str) -> int:
+    return 1 if word in NAMES else 2 if word[0].isdigit() else 0
+
+
 def may_spell(text: str) -> bool:
-    """False only if no run of five names can be there: its three inner ones stand free once commas and hyphens go."""
-    return b"\1\1\1" in bytes(map(NAMES.__contains__, text.lower().replace(",", " ").replace("-", " ").split()))
+    """False only if no digit's name can be next to another or to a numeral."""
+    text = text.lower()
+    for c in ",-.()[]{}<>+":
+        text = text.replace(c, " ")
+    found = bytes(map(kind_of, text.split()))
+    return b"\1\1" in found or b"\1\2" in found or b"\2\1" in found
 
 
 _open, _close = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
-AT = re.compile(rf"{_open}(?:at|@){_close}|(?<=[\w])\s{{1,3}}(?:at|@)\s{{1,3}}(?=\w)", re.I)
+AT = re.compile(rf"{_open}(?:at|@){_close}|(?<=[\w])\s{{1,3}}(?:at|@)\s{{1,3}}(?=\w)|@", re.I)
 DOT = re.compile(rf"{_open}(?:dot|\.){_close}|\s{{1,3}}dot\s{{1,3}}", re.I)
 LABEL = re.compile(r"[A-Za-z0-9-]+")
 ATOM = re.compile(r"[A-Za-z0-9_%+-]+")
@@ -129,6 +139,11 @@ ATOM = re.compile(r"[A-Za-z0-9_%+-]+")
 HINT = re.compile(r"[\[({<]\s{0,3}(?:at|@|dot|\.)\s{0,3}[\])}>]|\sdot\s", re.I)
 
 
+#: What numbers in mixed spelling consist of: bracketed dots, names, numerals.
+PART = re.compile(rf"(?P<dot>{_open}(?:dot|point|\.){_close})|\b(?P<name>{_name})\b|(?P<num>\+?[0-9]++(?:\.[0-9]++)*+)", re.I)
+GAP = re.compile(r"[\s,()-]{1,3}|\.")
+
+
 class Mapped:
     """A rewritten text; for each of its characters the source's [start, end) and whether it was rewritten."""
 
@@ -161,8 +176,52 @@ def spelled(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def mixed(text: str) -> list[tuple[int, int, str]]:
+    """Edits of names, numerals and disguised dots in a row whose rewritten whole is an identifier.
+
+    A name at either edge may be left out. Gaps go, save single spaces, hyphens and dots between numerals.
+    """
+    found: list[tuple[int, int, str]] = []
+    run: list[tuple[int, int, str, bool]] = []
+
+    def closed():
+        if any(odd for *_, odd in run):
+            for first, last in ((0, 0), (1, 0), (0, 1), (1, 1)):
+                part = run[first : len(run) - last]
+                if len(part) < 2 or first and not run[0][3] or last and not run[-1][3] or not any(odd for *_, odd in part):
+                    continue
+                made, edits = [], []
+                for k, (a, b, put, odd) in enumerate(part):
+                    made.append(put)
+                    to, gap = (part[k + 1][0], text[b : part[k + 1][0]]) if k + 1 < len(part) else (b, "")
+                    keep = gap if gap == "." or gap and not odd and not part[k + 1][3] else ""
+                    made.append(keep)
+                    if odd:
+                        edits.append((a, to, put + keep))
+                    elif gap and not keep:
+                        edits.append((b, to, ""))
+                whole = "".join(made)
+                if len(whole) <= 60 and any(k and a == 0 and b == len(whole) for k, a, b in detect(whole)):
+                    found.extend(edits)
+                    break
+        run.clear()
+
+    for m in PART.finditer(text):
+        a, b = m.span()
+        kind, said = m.lastgroup, m.group()
+        put = "." if kind == "dot" else NAMED[said.lower()] if kind == "name" else said
+        if run:
+            gap = text[run[-1][1] : a]
+            plain = not run[-1][3] and kind == "num"
+            if put[0] == "+" or not (gap in (" ", "-") if plain else not gap and (kind == "dot" or run[-1][2] == ".") or GAP.fullmatch(gap)):
+                closed()
+        run.append((a, b, put, kind != "num"))
+    closed()
+    return found
+
+
 def disguised(text: str) -> list[tuple[int, int, str]]:
-    """Edits of "at" and "dot": a spelled-out "at" counts only if some dot of its address is disguised as well."""
+    """Edits of "at" and "dot": a spelled-out "at" and a plain "@" count only if some dot of the address is disguised."""
     found, low = [], 0
     for at in AT.finditer(text):
         bracketed = bool(re.search(r"[\[({<]", at.group()))
@@ -190,7 +249,7 @@ def disguised(text: str) -> list[tuple[int, int, str]]:
                 break
             left.insert(0, (before[0].start(), begin, "."))
             stop = before[0].start()
-        found += [*left, (a, b, "@"), *edits]
+        found += [*left, *([(a, b, "@")] if at.group() != "@" else []), *edits]
         low = end
     return found
 
@@ -205,7 +264,7 @@ def spans(text: str | None) -> list[dict]:
         m = Mapped(text)
         if odd:
             m.edit([(x.start(), x.end(), ALIKE[x.group()]) for x in re.finditer(f"[{re.escape(odd)}]", text)])
-        for rewrite in (spelled, disguised):
+        for rewrite in (mixed, spelled, disguised):
             if edits := rewrite(m.text):
                 m.edit(edits)
         if m.new.any() or len(m.text) < len(text):
