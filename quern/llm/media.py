@@ -691,3 +691,41 @@ def facts(df: DataFrame, media: str = "media", keep: list[str] | None = None, bu
         return work
 
     return arrow_map(df, [media], FACTS, factory, keep, budget)
+
+
+DECODED = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, height int, width int, rgb binary"
+
+
+def decoded(df: DataFrame, media: str = "media", keep: list[str] | None = None, budget: int = 1_000_000) -> DataFrame:
+    """What ``facts`` says of payload and image, with the RGB tensor itself (``height``, ``width``, ``rgb``) to be stored."""
+
+    def factory():
+        def work(rows):
+            data, out = rows.to_pylist(), []
+            for m, (im, c, x) in zip(data, read(data)):
+                p = payload(im, c)
+                out.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), im.height, im.width, tensor(im, x).tobytes()))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
+            return [pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]
+
+        return work
+
+    return arrow_map(df, [media], DECODED, factory, keep, budget)
+
+
+def features(df: DataFrame, keep: list[str] | None = None, budget: int = 3_000_000) -> DataFrame:
+    """The rows with ``feature string`` of stored tensors, as ``facts`` gives it."""
+
+    def factory():
+        def work(rgb, height, width):
+            out = []
+            for data, h, w in zip(rgb, height.to_pylist(), width.to_pylist()):
+                raw = data.as_buffer()
+                total = np.frombuffer(raw, np.uint8).reshape(-1, 3).sum(0, dtype=np.int64)
+                mean = ",".join(str(int(z) * 1000 // (h * w)) for z in total)
+                out.append(f"rgb8:{w}x{h}:mean={mean}:crc={zlib.crc32(raw)}")
+            return [pa.array(out, pa.string())]
+
+        return work
+
+    return arrow_map(df, ["rgb", "height", "width"], "feature string", factory, keep, budget)

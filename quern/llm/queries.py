@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import htmltext, langid, media, mixing, mtree, ngrams, pieces, pii, sharding, warc
+from .common import written
 
 #: A public SentencePiece model; encode and decode take any other.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -119,10 +120,12 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document kept in a progressive JPEG, read back, with features of its RGB tensor."""
-    stored = media.store(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-    read = media.facts(stored, keep=["doc_id", "n_bytes"])
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    """Every document kept in a progressive JPEG, its RGB tensor stored too; digests and features of what is read back."""
+    stored = written(media.store(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]), "media")
+    facts = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    tensors = written(media.decoded(stored, keep=["doc_id", "n_bytes"]), "tensors")
+    read = media.features(tensors, keep=["doc_id", "n_bytes", *facts])
+    return read.select("doc_id", "n_bytes", *facts, "feature")
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
