@@ -6,8 +6,9 @@ stochastic gradient descent in numpy on a bounded, hash-chosen sample of labelle
 it is folded into one row of logits for each bucket, so prediction is a gather and a sum over the whole text.
 
 Rejection is calibrated on rows kept out of the training: a temperature is fitted to their likelihood, and the
-least accepted score is their ``alpha`` quantile (never over 0.5), so of texts like those labelled at most about
-``alpha`` are rejected. Buckets never trained have zero logits: text in unseen scripts scores 1/K and is rejected.
+least accepted score is their ``alpha`` quantile, so of texts like those labelled at most about ``alpha`` are
+rejected. Buckets never trained have zero logits: a score of 1/K or less is rejected (if K is over 1), and so is a text
+most of whose n-grams fall in buckets never trained, beyond the share that unlike n-grams hit by chance.
 
 Defined results: null text, or text with no letter: ``und``, score 0, rejected. Equal texts get equal results.
 Repeated rows and null ids pass through. No labelled row at all: every text is ``und``.
@@ -104,29 +105,37 @@ class Model:
     logits: np.ndarray
     temperature: float
     threshold: float
+    seen: np.ndarray
+    least_seen: float
 
-    def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        total, count = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
+    def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits, n-grams and n-grams in trained buckets of each text."""
+        total, count, seen = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts)), np.zeros(len(texts))
         for ids, starts, b, last in features(texts):
             if not len(b):
                 continue
             cut = np.searchsorted(last, starts)
             full = np.flatnonzero(np.diff(cut))
             total[ids[full]] += np.add.reduceat(self.logits[b], cut[full], axis=0, dtype=np.float64)
+            seen[ids[full]] += np.add.reduceat(self.seen[b], cut[full], dtype=np.int64)
             count[ids[full]] += np.diff(cut)[full]
-        return total, count
+        return total, count, seen
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Labels, scores, whether rejected."""
         if not self.labels:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        total, count = self.sums([t or "" for t in texts])
+        total, count, seen = self.sums([t or "" for t in texts])
         z = total / np.maximum(count, 1)[:, None] / self.temperature
         p = np.exp(z - z.max(1, keepdims=True, initial=-np.inf))
         p /= p.sum(1, keepdims=True)
         best, known = p.argmax(1), count > 0
         score = np.where(known, p[np.arange(len(best)), best], 0.0)
-        return [self.labels[k] if ok else "und" for k, ok in zip(best, known)], score, ~known | (score < self.threshold)
+        return [self.labels[k] if ok else "und" for k, ok in zip(best, known)], score, ~known | self.rejects(score, seen / np.maximum(count, 1))
+
+    def rejects(self, score: np.ndarray, share: np.ndarray) -> np.ndarray:
+        k = len(self.labels)
+        return (score < self.threshold) | (share < self.least_seen) | (score <= (1 + 1e-9) / k if k > 1 else False)
 
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +148,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], calibration: list[tuple[
     labels = sorted({r[0] for r in rows})
     k, rng = len(labels), np.random.default_rng(seed)
     if not k:
-        return Model([], np.zeros((1 << BITS, 0), np.float32), 1.0, 1.0)
+        return Model([], np.zeros((1 << BITS, 0), np.float32), 1.0, 1.0, np.zeros(1 << BITS, bool), 1.0)
     at = {x: i for i, x in enumerate(labels)}
     e = rng.uniform(-1 / WIDTH, 1 / WIDTH, (1 << BITS, WIDTH)).astype(np.float32)
     w, seen, step, steps = np.zeros((WIDTH, k), np.float32), np.zeros(1 << BITS, bool), 0, epochs * len(rows)
@@ -161,9 +170,13 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], calibration: list[tuple[
             e[b] -= np.float32(lr * min(len(b), 32)) * np.outer(share, back)
             seen[b] = True
     logits = np.where(seen[:, None], e @ w, 0).astype(np.float32)
-    held = [(at[x], (n / n.sum()) @ logits[b]) for x, b, n in calibration if x in at and len(b)]
+    like = [(at[x], b, n / n.sum()) for x, b, n in calibration if x in at and len(b)]
+    held = [(x, n @ logits[b]) for x, b, n in like]
+    by_chance = (1 + float(seen.mean())) / 2
     if not held:
-        return Model(labels, logits, 1.0, 1 / k)
+        return Model(labels, logits, 1.0, 0.0, seen, by_chance)
+    shares = np.sort([float(n @ seen[b]) for _, b, n in like])
+    least_seen = min(by_chance, float(shares[int(alpha * len(shares))]) - 1e-9)
     y, z = np.array([x for x, _ in held]), np.array([v for _, v in held])
 
     slack = 1 / (len(y) + 2)  # smoothed targets, as in Platt scaling: a faultless sample doesn't ask for certainty
@@ -177,7 +190,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], calibration: list[tuple[
     temperature = float(min(np.geomspace(0.02, 20, 121), key=loss))
     s = np.exp((z - z.max(1, keepdims=True)) / temperature)
     top = np.sort((s / s.sum(1, keepdims=True)).max(1))
-    return Model(labels, logits, temperature, float(min(0.5, top[int(alpha * len(top))])))
+    return Model(labels, logits, temperature, float(top[int(alpha * len(top))]), seen, least_seen)
 
 
 def train(df: DataFrame, text: str = "text", label: str = "lang", order: str = "doc_id", per_label: int = 800, seed: int = 11) -> Model:
