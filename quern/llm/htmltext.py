@@ -36,7 +36,9 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 LETTERS = re.compile(r"[a-z]+")
 # Element names.
-RAW = frozenset("script style template noscript iframe object svg math canvas audio video select textarea button head title".split())
+RAW = frozenset("script style template noscript iframe object svg math canvas audio video select textarea button title".split())
+# Of those, the ones that take the rest of the page if they have no end; others without one are ignored.
+TO_END = frozenset("script style title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -67,6 +69,7 @@ def parse(source: str) -> Page:
     pending: list[str] = []
     linked = 0
     raw = None
+    endless: set[str] = set()
 
     def close_run():
         nonlocal linked
@@ -112,9 +115,13 @@ def parse(source: str) -> Page:
                         break
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}[^>]*(?:>|\Z)", re.I).search(source, at)
+            end = None if name in endless else re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
+            if not end:
+                endless.add(name)
             pending.append(" ")
-            at = end.end() if end else n
+            at = end.end() if end else n if name in TO_END else at
+            continue
+        if name == "head":  # its texts are raw elements; the rest belongs to the page whether or not it is closed
             continue
         if name in INLINE:
             inside += name == "a"
