@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import NotFound, QueryError
 from ..ranges import predicate, prefix
 from ..schema import Column, TableSchema
+from .table import placed
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,10 @@ class OrderedSet:
     def keys(self) -> DataFrame:
         return self.df.orderBy(*[F.col(c).desc_nulls_last() if self.backward else F.col(c).asc_nulls_first() for c in self.names])
 
+    def placed(self, name: str = "position") -> DataFrame:
+        """All keys with their places from 1."""
+        return placed(self.df, [F.col(c).desc_nulls_last() if self.backward else F.col(c).asc_nulls_first() for c in self.names], name)
+
     def first(self) -> Row:
         found = self.first_key().collect()
         if not found:

@@ -15,6 +15,19 @@ from ..schema import TableSchema
 from ..sources.storage import written
 
 
+def placed(df: DataFrame, by: list, name: str = "position") -> DataFrame:
+    """Every row's place from 1 in the order ``by``: sorted ranges, each numbered apart and shifted by those before it."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    kept = written(ranged, "placed")  # the sampled bounds are fixed by what is written
+    part = F.shiftrightunsigned("__at", 33)
+    kept = kept.withColumn("__part", part).withColumn("__at", F.col("__at") - F.shiftleft(part, 33))
+    counts = kept.groupBy("__part").agg(F.count("*").alias("__n"))  # a row for each range
+    counts = counts.select(F.col("__part").alias("__of"), (F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part")) - F.col("__n")).alias("__before"))
+    out = kept.join(F.broadcast(counts), F.col("__part") == F.col("__of"))
+    return out.withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__at", "__part", "__of", "__before")
+
+
 @dataclass(frozen=True)
 class Table:
     """Rows, their schema, and the view put on them.
@@ -144,6 +157,11 @@ class Table:
         df = self.df.orderBy(*by).limit(self.most).withColumn(name, F.row_number().over(Window.orderBy(*by)).cast("long"))
         return df.select(*self.columns, name)
 
+    def placed(self, name: str = "position") -> DataFrame:
+        """The whole scan with each row's place from 1, in whatever order the rows come; no task holds them all."""
+        self._no_limit("placed")
+        return placed(self.df, self._sorting(), name).select(*self.columns, name)
+
     def read(self, key: tuple) -> Row | None:
         self._no_limit("read by key")
         if len(key) != len(self.schema.key):

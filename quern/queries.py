@@ -150,6 +150,15 @@ def _(s, d):
     return table(s, d, "customer").reverse().select(["c_custkey", "c_name"]).limit(20).rows()
 
 
+# the whole order of the three above
+for _name, _view, _sql in (
+    ("order_by", lambda t: t.order_by(["c_acctbal"]).select(["c_custkey", "c_acctbal"]), "SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS position FROM customer"),
+    ("order_by_desc", lambda t: t.order_by(["c_acctbal"], reverse=True).select(["c_custkey", "c_acctbal"]), "SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey DESC) AS position FROM customer"),
+    ("reverse", lambda t: t.reverse().select(["c_custkey", "c_name"]), "SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey DESC) AS position FROM customer"),
+):
+    query(f"table_{_name}_whole", _sql)(lambda s, d, v=_view: v(table(s, d, "customer")).placed())
+
+
 @query("table_limit", "SELECT p_partkey, p_brand FROM part ORDER BY p_partkey LIMIT 13")
 def _(s, d):
     return table(s, d, "part").select(["p_partkey", "p_brand"]).limit(50).limit(13).rows()
@@ -245,6 +254,7 @@ for _name, _view, _sql in (
     ("prefix", lambda b: b.slice(("A",)).keys(), f"SELECT DISTINCT {_BC} FROM lineitem WHERE l_returnflag = 'A'"),
     ("range", lambda b: b.slice(("N", "O"), slice(2, 5)).keys(), f"SELECT DISTINCT {_BC} FROM lineitem WHERE l_returnflag = 'N' AND l_linestatus = 'O' AND l_linenumber >= 2 AND l_linenumber < 5"),
     ("reverse", lambda b: b.reverse().keys().limit(5), f"SELECT DISTINCT {_BC} FROM lineitem ORDER BY l_returnflag DESC, l_linestatus DESC, l_linenumber DESC LIMIT 5"),
+    ("reverse_whole", lambda b: b.reverse().placed(), f"SELECT {_BC}, row_number() OVER (ORDER BY l_returnflag DESC, l_linestatus DESC, l_linenumber DESC) AS position FROM (SELECT DISTINCT {_BC} FROM lineitem)"),
     ("first", lambda b: b.first_key(), f"SELECT DISTINCT {_BC} FROM lineitem ORDER BY {_BC} LIMIT 1"),
     ("count", lambda b: b.df.agg(F.count("*").alias("n")), f"SELECT count(*) AS n FROM (SELECT DISTINCT {_BC} FROM lineitem)"),
     ("count_range", lambda b: b.slice(("R",)).df.agg(F.count("*").alias("n")), f"SELECT count(*) AS n FROM (SELECT DISTINCT {_BC} FROM lineitem WHERE l_returnflag = 'R')"),
