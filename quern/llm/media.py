@@ -1,8 +1,10 @@
 """Media columns: bytes kept losslessly in progressive JPEG images, and a progressive JPEG decoder in numpy.
 
-Writing: a payload's bytes become the quantised DCT coefficients of a 4:2:0 image (byte + 2, so none is zero), the
-format's unit that its entropy coding keeps exactly. The scan script selects spectra (DC, then AC of each component)
-and approximates successively (all but the lowest bit first, then the lowest). Restart markers bound each interval.
+Writing: a payload's bytes become the quantised DCT coefficients of a 4:2:0 image, the format's unit that its entropy
+coding keeps exactly: a byte's rank in ``ORDER`` (bytes that texts use most come first) gives a small number, positive
+or negative and never zero, and small numbers have short codes. The scan script selects spectra (DC, then AC of each
+component) and approximates successively (all but the lowest bit first, then the lowest). Restart markers bound each
+interval. The quantisation tables are the example tables of the JPEG standard.
 
 Reading: the scans of all images of a batch are accumulated into coefficient arrays. The restart intervals of all
 images are decoded in lock-step, one symbol of every interval at a time, by table look-ups on arrays; refinement
@@ -30,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map
+from .common import arrow_map, col
 
 PAD = 192
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
@@ -51,12 +53,13 @@ def transform() -> np.ndarray:
 BASIS = transform()
 
 
-# -- Huffman tables, canonical, from code lengths by rule: the symbols text needs most are short, all others 13 bits
+# -- Huffman tables, canonical, from code lengths by rule
 
 
 def lengths_ac() -> list[tuple[int, int]]:
-    first = [0x06, 0x05, 0x07, 0x03, 0x04]
-    return [(s, k + 1) for k, s in enumerate(first)] + [(r << 4 | s, 13) for r in range(16) for s in range(11) if r << 4 | s not in first]
+    """Numbers of 1 to 7 bits have codes of about as many; all other symbols (runs of zeros and of blocks) 14."""
+    first = dict(zip(range(1, 8), (1, 2, 3, 4, 5, 7, 7)))
+    return [*first.items(), *((r << 4 | s, 14) for r in range(16) for s in range(11) if r << 4 | s not in first)]
 
 
 def dht(kind: int, lengths: list[tuple[int, int]]) -> bytes:
@@ -91,10 +94,18 @@ AC_CODE, AC_LEN = book(AC_DHT)
 DC_CODE, DC_LEN = book(DC_DHT)
 
 
-# For each byte of a payload: code and value of its first AC approximation, and their bits together.
-_high = (np.arange(256) + 2) >> 1
+# Letters and marks in the order of their frequency in text; all other bytes follow by value, graphic ASCII first.
+COMMON = b" etaoinsrhldcumfpgwybv.,k"
+ORDER = np.array(list(dict.fromkeys([*COMMON, *range(33, 127), *range(256)])), np.uint8)
+RANK = np.argsort(ORDER).astype(np.int64)
+#: For each byte its AC coefficient: 2, -2, 3, -3, ... by rank, so that what remains without the lowest bit is not zero.
+VALUE = (2 + RANK // 2) * np.where(RANK % 2, -1, 1)
+
+# For each byte of a payload: code and value of its first AC approximation, and their bits together; bit of the second.
+_high = np.abs(VALUE) >> 1
 _bits = np.frexp(_high.astype(np.float32))[1].astype(np.int64)
-FIRST, FIRST_BITS = AC_CODE[_bits] << _bits | _high, AC_LEN[_bits] + _bits
+FIRST, FIRST_BITS = AC_CODE[_bits] << _bits | np.where(VALUE < 0, (1 << _bits) - 1 - _high, _high), AC_LEN[_bits] + _bits
+SECOND = np.abs(VALUE) & 1
 
 # -- writing
 
@@ -143,7 +154,22 @@ ALL = [(1, 0), (2, 0), (3, 0)]
 SOS_DC, SOS_DC2 = sos(ALL, 0, 0, 0x01, EVERY["dc"]), sos(ALL, 0, 0, 0x10, EVERY["refine"])
 SOS_AC = [sos([(k, 0)], 1, 63, 0x01, EVERY["ac"]) for k in (1, 2, 3)]
 SOS_AC2 = [sos([(k, 0)], 1, 63, 0x10, EVERY["refine"]) for k in (1, 2, 3)]
-DQT = b"\xff\xdb\x00\x43\x00" + bytes([1] * 64)
+# Example quantisation tables of the JPEG standard for luminance and chrominance, by rows.
+LUMINANCE = """
+16 11 10 16 24 40 51 61 12 12 14 19 26 58 60 55 14 13 16 24 40 57 69 56 14 17 22 29 51 87 80 62
+18 22 37 56 68 109 103 77 24 35 55 64 81 104 113 92 49 64 78 87 103 121 120 101 72 92 95 98 112 100 103 99
+"""
+CHROMINANCE = "17 18 24 47 18 21 26 66 24 26 56 99 47 66 99 99"  # the upper left quarter; the rest is 99
+
+
+def dqt(number: int, rows: np.ndarray) -> bytes:
+    return b"\xff\xdb\x00\x43" + bytes([number, *rows.ravel()[ZIGZAG].tolist()])
+
+
+_chroma = np.full((8, 8), 99)
+_chroma[:4, :4] = np.array(CHROMINANCE.split(), int).reshape(4, 4)
+DQT = dqt(0, np.ones((8, 8), int))
+DQTS = dqt(0, np.array(LUMINANCE.split(), int).reshape(8, 8)) + dqt(1, _chroma)
 
 
 def chunked(counts: np.ndarray, every: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +195,8 @@ def write(payloads: list[bytes]) -> list[bytes]:
     # DC first: differences to the block before, in the interleaved order of MCUs
     order = np.concatenate([interleaved(int(c), int(r)) + s for c, r, s in zip(cols, rows, start)])
     size, per = chunked(mcus, EVERY["dc"])
-    dc = _high[value[order, 0]].reshape(-1, 6)
+    rank = RANK[value[order, 0]]
+    dc = (rank >> 1).reshape(-1, 6)
     before = np.zeros_like(dc)
     before[:, 1:4] = dc[:, 0:3]
     before[1:, 0] = dc[:-1, 3]
@@ -187,20 +214,20 @@ def write(payloads: list[bytes]) -> list[bytes]:
     for k, (a, b) in enumerate(spans):
         octets = value[blocks[k], 1:]
         v, w, by = FIRST[octets], FIRST_BITS[octets], 1
-        if w.max() <= 10:  # three symbols fit one word
+        if w.reshape(-1, 3).sum(1).max() <= 32:  # three symbols fit one word
             v, w, by = v.reshape(-1, 3), w.reshape(-1, 3), 3
             v = (v[:, 0] << w[:, 1] | v[:, 1]) << w[:, 2] | v[:, 2]
             w = w.sum(1)
         size, per = chunked(mcus * (b - a), EVERY["ac"])
         put(scans, SOS_AC[k], packed(v.ravel(), w.ravel(), np.cumsum(size) * (63 // by)), per)
     size, per = chunked(mcus, EVERY["refine"])
-    bit = (value[order, 0] & 1).astype(np.int64)
+    bit = rank & 1
     put(scans, SOS_DC2, packed(bit, np.ones_like(bit), np.cumsum(size) * 6), per)
     for k, (a, b) in enumerate(spans):
         size, per = chunked(mcus * (b - a), EVERY["refine"])
         r = np.frexp(size.astype(np.float32))[1].astype(np.int64) - 1
         lead, lead_w = AC_CODE[r << 4] << r | (size - (1 << r)), AC_LEN[r << 4] + r
-        bits = value[blocks[k], 1:] & 1
+        bits = SECOND[value[blocks[k], 1:]]
         # 63 bits of a block as three symbols of 21; before an interval's first comes its end-of-band run
         thirds = bits.reshape(-1, 21).astype(np.float64) @ (2.0 ** np.arange(20, -1, -1))
         at = np.concatenate([[0], np.cumsum(size)[:-1]]) * 3
@@ -209,8 +236,8 @@ def write(payloads: list[bytes]) -> list[bytes]:
     out = []
     for p, c, r, s in zip(payloads, cols.tolist(), rows.tolist(), scans):
         note = b"bytes=%d" % len(p)
-        head = b"\xff\xd8\xff\xfe" + struct.pack(">H", 2 + len(note)) + note + DQT
-        frame = b"\xff\xc2" + struct.pack(">HBHHB", 17, 8, r * 16, c * 16, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
+        head = b"\xff\xd8\xff\xfe" + struct.pack(">H", 2 + len(note)) + note + DQTS
+        frame = b"\xff\xc2" + struct.pack(">HBHHB", 17, 8, r * 16, c * 16, 3) + bytes([1, 0x22, 0, 2, 0x11, 1, 3, 0x11, 1])
         out.append(b"".join([head, frame, DC_DHT, AC_DHT, *s, b"\xff\xd9"]))
     return out
 
@@ -634,7 +661,9 @@ def payload(im: Image, coefs: np.ndarray) -> bytes:
     m = re.fullmatch(rb"bytes=(\d+)", im.note)
     if not m:
         raise ValueError("the image holds no payload")
-    return (coefs - 2).astype(np.uint8).tobytes()[: int(m[1])]
+    rank = 2 * np.abs(coefs) - 4 + (coefs < 0)
+    rank[:, 0] = coefs[:, 0]
+    return ORDER[rank].tobytes()[: int(m[1])]
 
 
 def padded(data: bytes) -> bytes:
@@ -657,75 +686,38 @@ def store(df: DataFrame, text: str = "text", keep: list[str] | None = None, budg
 
 def tensors(df: DataFrame, media: str = "media", keep: list[str] | None = None, budget: int = 1_000_000) -> DataFrame:
     """The rows with ``height int, width int, rgb binary`` (null for null media)."""
-
-    def factory():
-        def work(rows):
-            data = rows.to_pylist()
-            made = iter([(im.height, im.width, tensor(im, x).tobytes()) for im, _, x in read([m for m in data if m is not None])] if any(m is not None for m in data) else [])
-            got = [next(made) if m is not None else (None, None, None) for m in data]
-            return [pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.binary())]
-
-        return work
-
-    return arrow_map(df, [media], "height int, width int, rgb binary", factory, keep, budget)
+    kept = df.columns if keep is None else keep
+    return facts(df, media, kept, True, budget).select(*[col(c) for c in kept if c not in ("height", "width", "rgb")], "height", "width", "rgb")
 
 
 FACTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+TENSOR = ", height int, width int, rgb binary"
 
 
-def facts(df: DataFrame, media: str = "media", keep: list[str] | None = None, budget: int = 3_000_000) -> DataFrame:
-    """What the stored bytes say when read back: the payload's and the image's digests, and features of the RGB tensor."""
-
-    def factory():
-        def work(rows):
-            data, out = rows.to_pylist(), []
-            for m, (im, c, x) in zip(data, read(data)):
-                p, rgb = payload(im, c), planes(im, x)
-                mean = ",".join(str(int(z.sum(dtype=np.int64)) * 1000 // z.size) for z in rgb)
-                crc = zlib.crc32(np.stack(rgb, 2))
-                feature = f"rgb8:{im.width}x{im.height}:mean={mean}:crc={crc}"
-                out.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            return [pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]
-
-        return work
-
-    return arrow_map(df, [media], FACTS, factory, keep, budget)
-
+def facts(df: DataFrame, media: str = "media", keep: list[str] | None = None, tensor: bool = False, budget: int = 1_000_000) -> DataFrame:
+    """What the stored bytes say when read back: the payload's and the image's digests, and features of the RGB tensor.
 
-DECODED = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, height int, width int, rgb binary"
+    With ``tensor``, the full-resolution tensor too: ``height``, ``width`` and ``rgb`` (height x width x 3 bytes).
+    Null media give nulls.
+    """
+    fields = [f.split()[1] for f in (FACTS + TENSOR * tensor).split(", ")]
+    kinds = [{"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary()}[k] for k in fields]
 
-
-def decoded(df: DataFrame, media: str = "media", keep: list[str] | None = None, budget: int = 1_000_000) -> DataFrame:
-    """What ``facts`` says of payload and image, with the RGB tensor itself (``height``, ``width``, ``rgb``) to be stored."""
+    def one(m: bytes, im: Image, c: np.ndarray, x: np.ndarray) -> list:
+        p, rgb = payload(im, c), np.stack(planes(im, x), 2)
+        mean = ",".join(str(int(z) * 1000 // (im.width * im.height)) for z in rgb.reshape(-1, 3).sum(0, dtype=np.int64))
+        feature = f"rgb8:{im.width}x{im.height}:mean={mean}:crc={zlib.crc32(rgb)}"
+        out = [len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature]
+        return out + [im.height, im.width, rgb.tobytes()] if tensor else out
 
     def factory():
         def work(rows):
-            data, out = rows.to_pylist(), []
-            for m, (im, c, x) in zip(data, read(data)):
-                p = payload(im, c)
-                out.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), im.height, im.width, tensor(im, x).tobytes()))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
+            data = rows.to_pylist()
+            there = [m for m in data if m is not None]
+            made = iter([one(m, *r) for m, r in zip(there, read(there))] if there else [])
+            out = [next(made) if m is not None else [None] * len(kinds) for m in data]
             return [pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]
 
         return work
 
-    return arrow_map(df, [media], DECODED, factory, keep, budget)
-
-
-def features(df: DataFrame, keep: list[str] | None = None, budget: int = 3_000_000) -> DataFrame:
-    """The rows with ``feature string`` of stored tensors, as ``facts`` gives it."""
-
-    def factory():
-        def work(rgb, height, width):
-            out = []
-            for data, h, w in zip(rgb, height.to_pylist(), width.to_pylist()):
-                raw = data.as_buffer()
-                total = np.frombuffer(raw, np.uint8).reshape(-1, 3).sum(0, dtype=np.int64)
-                mean = ",".join(str(int(z) * 1000 // (h * w)) for z in total)
-                out.append(f"rgb8:{w}x{h}:mean={mean}:crc={zlib.crc32(raw)}")
-            return [pa.array(out, pa.string())]
-
-        return work
-
-    return arrow_map(df, ["rgb", "height", "width"], "feature string", factory, keep, budget)
+    return arrow_map(df, [media], FACTS + TENSOR * tensor, factory, keep, budget)

@@ -120,12 +120,13 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document kept in a progressive JPEG, its RGB tensor stored too; digests and features of what is read back."""
-    stored = written(media.store(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]), "media")
-    facts = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
-    tensors = written(media.decoded(stored, keep=["doc_id", "n_bytes"]), "tensors")
-    read = media.features(tensors, keep=["doc_id", "n_bytes", *facts])
-    return read.select("doc_id", "n_bytes", *facts, "feature")
+    """Every document kept in a progressive JPEG, written and read back; digests, features and the RGB tensor of each image.
+
+    The tensors are a column of the result and stored with it.
+    """
+    stored = written(media.store(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]), "media", "zstd")
+    read = media.facts(stored, keep=["doc_id", "n_bytes"], tensor=True)
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "rgb")
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
