@@ -20,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, col
+from .common import arrow_map, col, written
 
 #: 2 to the power of BITS buckets.
 BITS = 17
@@ -193,18 +193,19 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], calibration: list[tuple[
     return Model(labels, logits, temperature, float(top[int(alpha * len(top))]), seen, least_seen)
 
 
-def train(df: DataFrame, text: str = "text", label: str = "lang", order: str = "doc_id", per_label: int = 800, seed: int = 11) -> Model:
-    """Fit on at most about ``per_label`` hash-chosen rows of each label; whole texts; one in five calibrates.
+def train(df: DataFrame, text: str = "text", label: str = "lang", order: str = "doc_id", per_label: int = 800, labels: int = 1000, seed: int = 11) -> Model:
+    """Fit on about ``per_label`` hash-chosen rows of each label; whole texts; one in five calibrates.
 
-    The choice is a threshold on a hash of ``order``, set for each label from the labels' counts (one row for each
-    label), so nothing is sorted or shuffled but counts. The features are counted on the executors; the driver
-    gets at most 2**BITS pairs for each chosen row, and keeps 2 * per_label rows of a label at most.
+    Of labels, the ``labels`` most frequent are learnt (ties by code point). Of a label's rows, those are chosen whose
+    hash of ``order`` and text lies under a bound set from the label's count; rows alike in both count once, and at
+    most 2 * ``per_label`` of a label, those of the least hash, are kept, all before anything is sent to the
+    driver. It gets at most 2**BITS pairs for each. Nothing else is sorted or shuffled but counts.
     """
-    rows = df.where(col(label).isNotNull() & col(text).isNotNull()).select(col(text).alias("t"), col(label).cast("string").alias("y"), F.pmod(F.xxhash64(F.lit(seed), col(order).cast("string")), F.lit(1 << 30)).cast("double").alias("h"))
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return fit([], [])
-    bound = F.coalesce(*[F.when(F.col("y") == x, F.lit(float(1 << 30) * min(1.0, per_label / n))) for x, n in sorted(sizes.items())])
+    rows = df.where(col(label).isNotNull() & col(text).isNotNull()).select(col(text).alias("t"), col(label).cast("string").alias("y"), F.pmod(F.xxhash64(F.lit(seed), col(order).cast("string"), col(text)), F.lit(1 << 30)).alias("h"))
+    sizes = rows.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.encode("y", "UTF-8")).limit(labels)
+    bounds = written(sizes.select("y", (F.lit(float(1 << 30)) * F.least(F.lit(1.0), per_label / F.col("n"))).alias("bound")), "labels")
+    chosen = rows.join(F.broadcast(bounds), "y").where("h < bound").groupBy("y", "h").agg(F.min("t").alias("t"))
+    chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("h"))).where(F.col("k") <= 2 * per_label)
 
     def factory():
         def work(texts):
@@ -213,13 +214,8 @@ def train(df: DataFrame, text: str = "text", label: str = "lang", order: str = "
 
         return work
 
-    chosen = arrow_map(rows.where(F.col("h") < bound), ["t"], "b binary, n binary", factory, keep=["y", "h"])
-    got = sorted((r["y"], r["h"], bytes(r["b"]), bytes(r["n"])) for r in chosen.toLocalIterator())
-    kept, taken = [], dict.fromkeys(sizes, 0)
-    for y, h, b, n in got:
-        taken[y] += 1
-        if taken[y] <= 2 * per_label:
-            kept.append((int(h), (y, np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(n, np.int32).astype(np.int64))))
+    got = sorted((r["y"], r["h"], bytes(r["b"]), bytes(r["n"])) for r in arrow_map(chosen, ["t"], "b binary, n binary", factory, keep=["y", "h"]).toLocalIterator())
+    kept = [(h, (y, np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(n, np.int32).astype(np.int64))) for y, h, b, n in got]
     apart = [r for h, r in kept if h % 5 == 0]
     return fit([r for h, r in kept if h % 5] or apart, apart, seed=seed)
 
