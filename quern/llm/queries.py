@@ -26,23 +26,29 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page through WARC archives, read back by the merged capture index."""
+    """Every page through WARC archives, read back by the merged capture index, with its place in the captures' order."""
     index, folder = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return warc.read_archives(index, folder, payloads=False).drop("url")
 
 
 OP2_SQL = """
 WITH p AS (
-  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+  SELECT page_id, encode(coalesce(html, '')) AS b, trim(url) AS u FROM pages
 ), d AS (
-  SELECT page_id, CAST(octet_length(b) AS BIGINT) AS n, sha1(b) AS sha FROM p
+  SELECT page_id, CAST(octet_length(b) AS BIGINT) AS n, sha1(b) AS sha,
+         regexp_replace(lower(regexp_extract(u, '^[^:/]+://([^/?#:]*)', 1)), '^www\\.', '') AS host,
+         regexp_extract(u, '^[^:/]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '^[^?#]*\\?([^#]*)', 1) AS query FROM p
 ), k AS (
-  SELECT *, max(page_id) OVER (PARTITION BY sha, n >= 1000) AS keeper FROM d
+  SELECT *, max(page_id) OVER (PARTITION BY sha, n >= 1000) AS keeper,
+         lower(array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END
+               || CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(query, '&')), '&') END) AS urlkey FROM d
+), j AS (
+  SELECT *, n >= 1000 AND keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper AS again FROM k
 )
-SELECT page_id, n AS payload_bytes, sha AS payload_digest,
-       CASE WHEN n >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
-FROM k
+SELECT page_id, n AS payload_bytes, sha AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN keeper END AS refers_to,
+       CAST(row_number() OVER (ORDER BY urlkey, page_id % 1000000000 NULLS FIRST, page_id NULLS FIRST) - 1 AS BIGINT) AS place
+FROM j
 """
 
 
@@ -53,7 +59,8 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) AS alike FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
@@ -72,7 +79,7 @@ WITH d AS (
   SELECT source, source_size, CASE WHEN k0 IS NULL OR k < k0 THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(w * r0 AS DOUBLE) / w0 END AS target FROM l
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-         CAST('0x' || substr(md5('20' || ':' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+         CAST('0x' || substr(md5('20:' || d.alike || ':' || row_number() OVER (PARTITION BY d.source, d.alike)), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r

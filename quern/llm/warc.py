@@ -14,7 +14,7 @@ Names of files are new for each attempt at a task, and only those that a success
 lost executors and speculative copies do no harm. Files are reached by ``pyarrow.fs`` under ``spark.checkpoint.dir``.
 
 Defined results: null html is an empty payload, null url the key ``-``; of repeated rows with the keeper's id each is a
-response; a null id never keeps, and sorts first. Empty tables give no archive and no rows.
+response; a null id never keeps (with a keeper of its payload it is a revisit, without one a response), and sorts first. Empty tables give no archive and no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from urllib.parse import quote, urlsplit
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, join_small, new_path, slices, written
@@ -300,14 +300,17 @@ def merge_index(runs: DataFrame, folder: str) -> DataFrame:
         level = [([r["file"] for r in rs if r["n"]], sum(r["n"] for r in rs), [key_of(tuple(s)) for r in rs for s in r["samples"]][:: max(1, len(rs))]) for rs in merged.values()]
 
 
-READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, place long, payload binary"
 
 
 def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records that an index names, each read at its offset and checked; revisits have an empty payload."""
-    rows = index.select("file", "start", "length", "digest").repartition("file").sortWithinPartitions("file", "start")
+    """The records that an index names, each read at its offset and checked, with their places; revisits have an empty payload.
+
+    An archive's records are read in the order of the file; ``place`` keeps the captures' order.
+    """
+    rows = index.select("file", "start", "length", "digest", "place").repartition("file").sortWithinPartitions("file", "start")
     schema = READ if payloads else READ.rpartition(",")[0]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: None if payloads else 6]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()][: None if payloads else 7]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def number(urn: str | None) -> int | None:
@@ -322,7 +325,7 @@ def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataF
             return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=names)
 
         for batch in batches:
-            for file, start, length, digest in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+            for file, start, length, digest, place in zip(*[batch.column(k).to_pylist() for k in range(5)]):
                 if file != path:
                     if f:
                         f.close()
@@ -333,7 +336,7 @@ def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataF
                 kind = fields["warc-type"]
                 if sha1 != digest or kind == "response" and (len(payload) != n or hashlib.sha1(payload).hexdigest() != sha1):
                     raise ValueError(f"{file} is damaged at {start}")
-                out.append((number(fields["warc-record-id"]), fields["warc-target-uri"], n, sha1, kind, number(fields.get("warc-refers-to")), payload))
+                out.append((number(fields["warc-record-id"]), fields["warc-target-uri"], n, sha1, kind, number(fields.get("warc-refers-to")), place, payload))
                 size += len(payload)
                 if size > 4 << 20 or len(out) == 4096:
                     yield made()
@@ -350,7 +353,14 @@ def archive(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
     """Write a table of pages; (globally ordered index, folder of the archives)."""
     folder = new_path(pages.sparkSession, "warc")
     runs = written(write_archives(judged(pages, page, url, html, stamp), folder), "runs")
-    return written(merge_index(runs, folder), "index"), folder
+    return placed(written(merge_index(runs, folder), "index")), folder
+
+
+def placed(index: DataFrame) -> DataFrame:
+    """The index with ``place``, from 0 in its global order: the place in the range, shifted by the ranges before."""
+    counts = index.groupBy("range_no").agg(F.count("*").alias("n"))  # a row for each merge task
+    before = counts.select("range_no", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("range_no")) - F.col("n")).alias("before"))
+    return index.join(F.broadcast(before), "range_no").withColumn("place", F.col("pos") + F.col("before")).drop("before")
 
 
 def merge_sorted(runs: list[list[tuple]]) -> list[tuple]:
