@@ -14,12 +14,17 @@ fewer words is one shingle), each a 64-bit hash. Two texts link when den * inter
 3. Sets that share a key are joined to clusters: first inside each stretch of the table, so that a frequent key
    reaches the shuffle once for each stretch, then across them.
 4. Equal sets become one class, combined before the shuffle; only one text of each goes on.
-5. The texts of each cluster meet in one task (a cluster too large for one is cut to blocks, and each pair of
-   blocks meets), and are searched by DivideSkip: of a query's inverted lists the longest, fewer than the
-   required overlap T, are set aside; the others are merged and their counts, with binary probes of the long lists,
-   decide which records reach T. Records already connected to the query are skipped: of linked texts, enough links
-   for the connected components are kept, not all pairs.
-6. Connected components give each document the smallest id reachable.
+5. The texts of a cluster meet in one task, if they are few; a cluster of more than ``ROWS`` texts or ``UNIT``
+   shingles is dealt to blocks of about half of that, and ``LEADERS`` texts of it, chosen by hash, go to every block,
+   so that near copies in unlike blocks are connected by the leaders. Only texts that then still stand apart from the
+   most of their cluster go to all its blocks: they, and no pair of blocks, meet every text again. Their blocks grow with
+   their number, so that up to ``WIDE`` shingles of them the texts are read twice at most.
+6. A block is searched by DivideSkip: of a query's inverted lists the longest, fewer than the required overlap T, are
+   set aside; the others are merged by a heap and their counts, with binary probes of the long lists, decide which
+   records reach T. Records already connected to the query are skipped: of linked texts, enough links for the
+   connected components are kept, not all pairs. A query's likeliest record is tried first, as a link to it often
+   leaves nothing else to ask.
+7. Connected components give each document the smallest id reachable.
 
 Collisions of 64-bit hashes inside a cluster are the only inexactness. Defined results: null and word-free texts
 have no shingle and no link, their component is their own id. Rows of one id are one node. Rows with a null id are
@@ -33,11 +38,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, arrow_map, col, slices, written
 from .graph import components
+from .sharding import numbered
 
 #: Bytes of text hashed at a time.
 SPAN = 1 << 19
@@ -46,8 +52,12 @@ STRETCH = 800_000
 #: Frequent shingles set aside (8 bytes each are broadcast), and shingles of a stretch in which they are counted.
 FREQUENT = 1 << 17
 COUNTED = 3_000_000
-#: Shingles that one search unit holds.
+#: Texts and shingles up to which a cluster is searched in one task.
+ROWS = 128
 UNIT = 1_000_000
+#: Texts of a larger cluster that go to each of its blocks, and most shingles of texts that stand apart in a block.
+LEADERS = 4
+WIDE = 1_000_000
 
 _rng = np.random.default_rng(2024)
 _byte = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -297,37 +307,42 @@ def candidates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def merge(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Records of sorted lists with the number of lists each is in: a heap for few entries, a sort on arrays for many."""
-    if sum(map(len, lists)) <= 64:
-        out: list[list[int]] = []
-        for r in heapq.merge(*[x.tolist() for x in lists]):
-            if out and out[-1][0] == r:
-                out[-1][1] += 1
-            else:
-                out.append([r, 1])
-        return np.array([r for r, _ in out], np.int64), np.array([c for _, c in out], np.int64)
-    x = np.sort(np.concatenate(lists), kind="stable")
-    begin, count = runs(x)
-    return x[begin], count
+    """Records of sorted lists, in order, with the number of lists each is in, by a heap of the lists' heads."""
+    out: list[int] = []
+    have: list[int] = []
+    for r in heapq.merge(*[x.tolist() for x in lists]):
+        if out and out[-1] == r:
+            have[-1] += 1
+        else:
+            out.append(r)
+            have.append(1)
+    return np.array(out, np.int64), np.array(have, np.int64)
 
 
-def search(rows: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """For each set (by place) the least place that it is connected to, by links among these sets."""
+def search(rows: list[np.ndarray], num: int, den: int, guest: list[bool] | None = None, known: list[int] | None = None) -> np.ndarray:
+    """For each set (by place) the least place that it is connected to, by links among these sets.
+
+    With ``guest``, only guests are indexed and only the others ask: links between two of one kind are not looked for.
+    ``known``: sets of equal numbers are connected from the start.
+    """
     m = len(rows)
     order = sorted(range(m), key=lambda i: len(rows[i]))
     sized = [rows[i] for i in order]
     size = np.array([len(x) for x in sized], np.int64)
     root = np.arange(m)
-    every = np.concatenate(sized) if m else np.zeros(0, np.uint64)
-    record = np.repeat(np.arange(m), size)
+    if known is not None:
+        first: dict[int, int] = {}
+        root = np.array([first.setdefault(known[i], k) for k, i in enumerate(order)])
+    held = np.ones(m, bool) if guest is None else np.array([guest[i] for i in order])
+    inside = np.flatnonzero(held)
+    every = np.concatenate([sized[i] for i in inside]) if len(inside) else np.zeros(0, np.uint64)
+    record = np.repeat(inside, size[inside])
     by = np.argsort(every, kind="stable")  # records of a shingle stay in order
     begin, count = runs(every[by])
-    lists = record[by]
-    token = np.empty(len(every), np.int64)
-    token[by] = np.repeat(np.arange(len(begin)), count)
-    ends = np.concatenate([[0], np.cumsum(size)])
-    within = np.empty(len(every), np.int64)
-    within[by] = np.arange(len(every)) - np.repeat(begin, count)
+    lists, tokens = record[by], every[by][begin]
+    rank = np.empty(len(every), np.int64)
+    rank[by] = np.arange(len(every)) - np.repeat(begin, count)
+    ends = np.cumsum(size * held)
 
     def linked(i: int, j: int) -> bool:
         x, y = sized[i], sized[j]
@@ -340,36 +355,54 @@ def search(rows: list[np.ndarray], num: int, den: int) -> np.ndarray:
         a, b = sorted((int(root[i]), int(root[j])))
         root[root == b] = a
 
-    for q in range(m):
+    for q in range(m) if len(every) else ():
         n = int(size[q])
-        low = int(np.searchsorted(size, -(-n * num // den)))
-        if low >= q:
+        # sizes that may link; of two indexed sets the later asks
+        low, high = int(np.searchsorted(size, -(-n * num // den))), q if guest is None else int(np.searchsorted(size, n * den // num, "right"))
+        if guest is not None and held[q]:
             continue
-        t = token[ends[q] : ends[q + 1]]
-        long = within[ends[q] : ends[q + 1]]  # entries before q
+        if not (root[low:high][held[low:high]] != root[q]).any():
+            continue
+        t = np.searchsorted(tokens, sized[q])
+        t[t == len(tokens)] = 0
+        there = tokens[t] == sized[q]
+        t = t[there]
+        long = rank[ends[q] - n : ends[q]] if guest is None else count[t]  # entries that may be asked for
         least = -(-n * num // den)
         need = max(1, -(-num * (n + least) // (num + den)))
         by_length = np.argsort(-long, kind="stable")
         aside, short = by_length[: need - 1], by_length[need - 1 :]
         short = [lists[begin[i] : begin[i] + c] for i, c in zip(t[short].tolist(), long[short].tolist()) if c]
-        short = [x[np.searchsorted(x, low) :] if x[0] < low else x for x in short]
-        if not any(map(len, short)):
+        if not short:
             continue
-        found, have = merge(short)
-        tries = 0
-        while True:
-            keep = root[found] != root[q]
-            found, have = found[keep], have[keep]
-            if not len(found) or tries == 3:
+        # the record met most in the shortest lists first: a link to it often settles the query
+        failed: list[int] = []
+        while len(failed) < 3:
+            some = np.concatenate(short[-8:])
+            some = some[(some >= low) & (some < high)]
+            some = some[root[some] != root[q]]
+            some = some[~np.isin(some, failed)] if failed else some
+            if not len(some):
                 break
-            best = int(have.argmax())
-            if linked(q, int(found[best])):
-                union(q, int(found[best]))
+            likely = int(np.bincount(some).argmax())
+            if linked(q, likely):
+                union(q, likely)
             else:
-                tries += 1
-                found, have = np.delete(found, best), np.delete(have, best)
-        if not len(found):
+                failed.append(likely)
+        if not (root[low:high][held[low:high]] != root[q]).any():
             continue
+        lean = []
+        for x in short:
+            x = x[(x >= low) & (x < high)]
+            x = x[root[x] != root[q]]
+            if len(x):
+                lean.append(x)
+        if not lean:
+            continue
+        found, have = merge(lean)
+        if failed:
+            keep = ~np.isin(found, failed)
+            found, have = found[keep], have[keep]
         wanted = -(-num * (n + size[found]) // (num + den))
         for left, i in zip(range(len(aside), 0, -1), aside.tolist()):
             ok = have + left >= wanted
@@ -385,8 +418,8 @@ def search(rows: list[np.ndarray], num: int, den: int) -> np.ndarray:
         for j in found[have >= wanted].tolist() if len(found) else ():
             if root[j] != root[q]:
                 union(q, j)
-    place = np.array(order)
-    head = {}
+    place = np.array(order, np.int64)
+    head: dict[int, int] = {}
     for i in range(m):
         r = int(root[i])
         head[r] = min(head.get(r, m), int(place[i]))
@@ -395,83 +428,137 @@ def search(rows: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return out
 
 
-def links(docs: DataFrame, classes: DataFrame, grouped: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b): links enough to connect every component of linked classes."""
-    nodes = grouped.join(classes.select(F.col("id").alias("node"), "n"), "node")
-    nodes = written(nodes, "nodes")
-    large = nodes.groupBy("component").agg(F.sum("n").alias("n")).where(F.col("n") > UNIT).select("component", F.ceil(F.col("n") * 2 / UNIT).cast("int").alias("blocks"))
-    large = written(large, "large")
-    few = large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    nodes = nodes.join(F.broadcast(large) if few else large, "component", "left")
-    nodes = nodes.select("node", "component", "blocks")
-    few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.where("id IS NOT NULL AND t IS NOT NULL").join(F.broadcast(nodes) if few else nodes, F.col("id") == F.col("node"))
-    # a block meets each block, itself too: unit (i, j), i <= j
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    units = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
-    )
-    texts = texts.select("id", "t", "component", F.explode(units).alias("u")).select("id", "t", "component", "u.i", "u.j")
+def searched(texts: DataFrame, k: int, num: int, den: int, hosted: bool = False) -> DataFrame:
+    """(a, b): links in each unit of rows (id, t, component, i, j, guest, known); with ``hosted``, to guests only."""
     texts = texts.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "id")
 
     def run(batches):
-        unit, ids, rows = None, [], []
+        unit, ids, rows, guests, known = None, [], [], [], []
 
         def done():
-            head = search(rows, num, den)
+            head = search(rows, num, den, guests if hosted else None, known if hosted else None)
             a = [ids[i] for i in range(len(ids)) if head[i] != i]
             b = [ids[head[i]] for i in range(len(ids)) if head[i] != i]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             for part in slices(batch, 1, SPAN):
-                i, t, *u = (part.column(c).to_pylist() for c in range(5))
-                for own, x, *at in zip(i, shingles(t, k), *u):
+                own, t, guest, group, *u = (part.column(c).to_pylist() for c in (0, 1, 5, 6, 2, 3, 4))
+                for id_, x, g, c, *at in zip(own, shingles(t, k), guest, group, *u):
                     if at != unit:
                         if len(rows) > 1:
                             yield done()
-                        unit, ids, rows = at, [], []
+                        unit, ids, rows, guests, known = at, [], [], [], []
                     if len(x):
-                        ids.append(own)
-                        rows.append(x)
+                        ids.append(id_), rows.append(x), guests.append(g), known.append(c)
         if len(rows) > 1:
             yield done()
 
-    return texts.mapInArrow(run, "a long, b long")
+    return texts.select("id", "t", "component", "i", "j", "guest", "known").mapInArrow(run, "a long, b long")
+
+
+def every(n) -> Column:
+    """All numbers below a column's."""
+    return F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1)
+
+
+def units(docs: DataFrame, nodes: DataFrame, own, guests) -> DataFrame:
+    """Texts of the nodes in their units: ``own`` and ``guests`` give each row's arrays of (i, j, guest)."""
+    few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = docs.where("id IS NOT NULL AND t IS NOT NULL").join(F.broadcast(nodes) if few else nodes, F.col("id") == F.col("node"))
+    return texts.select("id", "t", "component", "known", F.explode(F.concat(own, guests)).alias("u")).select("id", "t", "component", "u.i", "u.j", "u.guest", "known")
+
+
+def seats(i, j, guest: bool):
+    """An array of seats from an array of i and one of j, each with each."""
+    seat = lambda x, y: F.struct(x.alias("i"), y.alias("j"), F.lit(guest).alias("guest"))
+    return F.flatten(F.transform(i, lambda x: F.transform(j, lambda y: seat(x, y))))
+
+
+def clusters(classes: DataFrame, grouped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (component, node, n, blocks), and the large clusters (component, blocks, all); written."""
+    nodes = written(grouped.join(classes.select(F.col("id").alias("node"), "n"), "node"), "nodes")
+    large = nodes.groupBy("component").agg(F.sum("n").alias("all"), F.count("*").alias("rows")).where((F.col("all") > UNIT) | (F.col("rows") > ROWS))
+    blocks = F.greatest(F.ceil(F.col("rows") * 2 / ROWS), F.ceil(F.col("all") * 2 / UNIT)).cast("int")
+    large = written(large.select("component", blocks.alias("blocks"), "all"), "large")
+    few = large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return nodes.join(F.broadcast(large) if few else large, "component", "left").select("component", "node", "n", "blocks"), large
+
+
+def links(docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b): the links inside small clusters and blocks, and to the leaders of large clusters."""
+    draw = F.xxhash64(F.lit(3), "node")
+    leaders = nodes.where("blocks IS NOT NULL").groupBy("component", F.pmod(draw, F.lit(LEADERS))).agg(F.min(F.struct(draw, "node")).alias("x")).select(F.col("x.node").alias("node"), F.lit(True).alias("leads"))
+    leaders = written(leaders, "leaders")
+    few = leaders.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    nodes = nodes.join(F.broadcast(leaders) if few else leaders, "node", "left").withColumn("known", F.lit(0).cast("long"))
+    mine = F.when(F.col("leads"), every(F.col("blocks"))).otherwise(F.array(F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int")))
+    return searched(units(docs, nodes, seats(mine, F.array(F.lit(0)), False), F.array().cast("array<struct<i:int,j:int,guest:boolean>>")), k, num, den)
+
+
+def apart(docs: DataFrame, nodes: DataFrame, large: DataFrame, found: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
+    """(a, b): links of the texts of large clusters that stand apart from the most of theirs, to any of it; None without such."""
+    now = nodes.where("blocks IS NOT NULL").join(found.withColumnRenamed("component", "now"), "node", "left").withColumn("known", F.coalesce("now", "node")).drop("now", "blocks")
+    now = written(now, "now")
+    most = now.groupBy("component", "known").agg(F.count("*").alias("c")).groupBy("component").agg(F.max_by("known", F.struct("c", "known")).alias("most"))
+    most = written(most, "most")
+    few = most.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    now = now.join(F.broadcast(most) if few else most, "component").withColumn("guest", F.col("known") != F.col("most")).drop("most")
+    there = now.where("guest").groupBy("component").agg(F.sum("n").alias("out"))
+    there = written(there.join(large.select("component", "all", "blocks"), "component"), "apart")
+    if there.isEmpty():
+        return None
+    # blocks of all texts grow with the guests, up to WIDE; more guests than that are dealt to blocks of their own
+    wide = F.least(F.lit(WIDE), F.greatest(F.ceil(F.col("all") / F.col("blocks")), F.col("out")))
+    there = there.select("component", F.ceil(F.col("all") / wide).cast("int").alias("is"), F.ceil(F.col("out") / WIDE).cast("int").alias("js"))
+    few = there.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    now = now.join(F.broadcast(there) if few else there, "component")
+    i, j = F.pmod(F.xxhash64(F.lit(5), "id"), F.col("is")).cast("int"), F.pmod(F.xxhash64(F.lit(6), "id"), F.col("js")).cast("int")
+    none = F.array().cast("array<struct<i:int,j:int,guest:boolean>>")
+    return searched(units(docs, now, seats(F.array(i), every(F.col("js")), False), F.when(F.col("guest"), seats(every(F.col("is")), F.array(j), True)).otherwise(none)), k, num, den, True)
 
 
 def link(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(key, n_shingles, component_id), a row for each row of ``df``."""
     docs = df.select(col(key).cast("long").alias("id"), col(text).alias("t"))
-    every = written(sets(docs, k), "sets")
-    classes = every.where("n > 0 AND id IS NOT NULL").groupBy("f").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    every_set = written(sets(docs, k), "sets")
+    classes = every_set.where("n > 0 AND id IS NOT NULL").groupBy("f").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     classes = written(classes, "classes")
     # ids of copies give way to their class's
-    copies = every.where("n > 0 AND id IS NOT NULL").select("id", "f").join(classes.select("f", F.col("id").alias("rep")), "f").where("id <> rep")
+    copies = every_set.where("n > 0 AND id IS NOT NULL").select("id", "f").join(classes.select("f", F.col("id").alias("rep")), "f").where("id <> rep")
     copies = copies.join(classes.select("id"), "id", "left_anti").groupBy("id").agg(F.min("rep").alias("rep"))
     copies = written(copies, "copies")
     pairs = written(candidates(docs, k, num, den), "pairs")
     for end in ("a", "b"):
         pairs = pairs.join(copies.select(F.col("id").alias(end), F.col("rep").alias(f"{end}_of")), end, "left").withColumn(end, F.coalesce(f"{end}_of", end)).drop(f"{end}_of")
-    grouped = components(pairs)
-    found = links(docs, classes, grouped, k, num, den)
+    nodes, large = clusters(classes, components(pairs))
     # rows of one id are one node, though their texts differ
-    twice = every.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("f").alias("f"), F.max("f").alias("g")).where("f <> g").select("id")
-    tied = every.join(twice, "id", "left_semi").join(classes.select("f", F.col("id").alias("rep")), "f").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    found = components(found.union(tied))
+    twice = every_set.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("f").alias("f"), F.max("f").alias("g")).where("f <> g").select("id")
+    tied = every_set.join(twice, "id", "left_semi").join(classes.select("f", F.col("id").alias("rep")), "f").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    near = written(links(docs, nodes, k, num, den).union(tied), "links")
+    found = components(near)
+    if not large.isEmpty():
+        more = apart(docs, nodes, large, found, k, num, den)
+        found = components(near.union(more)) if more is not None else found
     known = classes.select("f", "id").join(found, F.col("id") == F.col("node"), "left").select(F.col("f").alias("g"), F.coalesce("component", "id").alias("c"))
-    out = every.select("id", "n", "f").join(known, F.col("f") == F.col("g"), "left")
+    out = every_set.select("id", "n", "f").join(known, F.col("f") == F.col("g"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their component, one for each id; rows with a null id stay."""
-    found = written(link(df, text, key, k, num, den), "linked")
-    gone = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct()
-    gone = written(gone, "gone")
+    """The rows of ``df`` without those that a row before them in their component makes redundant.
+
+    Where ids are unique and not null, the row of the smallest id of each component stays. Else every row is a node of its
+    own, and of each component the first by (id, hash of the text) stays, null ids last; rows alike in both are the same
+    to any result. Rows without a word stay.
+    """
+    again = df.groupBy(col(key).cast("long").alias("id")).agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").limit(1).count()
+    rows, at = df, col(key).cast("long")
+    if again:
+        by = [col(key).cast("long").asc_nulls_last(), F.md5(F.encode(F.coalesce(col(text), F.lit("")), "UTF-8"))]
+        rows, at = written(numbered(df, by, None, "__row"), "rows"), F.col("__row")
+    found = link(rows.select(at.alias("__id"), col(text).alias("__t")), "__t", "__id", k, num, den)
+    gone = written(found.where("__id <> component_id").select(F.col("__id").alias("__gone")), "gone")
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    kept = df.join(F.broadcast(gone) if few else gone, col(key).cast("long") == F.col("__gone"), "left_anti")
-    if found.where(col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count():
-        kept = kept.where(col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(col(key).isNull()))
-    return kept
+    return rows.join(F.broadcast(gone) if few else gone, at == F.col("__gone"), "left_anti").select(*[col(c) for c in df.columns])
