@@ -91,6 +91,29 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.link(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                                    ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] FOR i IN range(1, len(w) - 2)] END) AS s FROM w
+), n AS (
+  SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s
+), f AS (
+  SELECT doc_id, md5_number(unnest(s)) AS h FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM f a JOIN f b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), l AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), c AS (
+  SELECT doc_id, doc_id AS c FROM n UNION SELECT l.b, c.c FROM c JOIN l ON c.doc_id = l.a WHERE c.c < l.b
+)
+SELECT n.doc_id, n AS n_shingles, least(n.doc_id, min(c.c)) AS component_id FROM n JOIN c ON n.doc_id = c.doc_id GROUP BY n.doc_id, n.n
+"""
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of every 20th vector by integer inner product."""
     return mtree.top_k(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
@@ -126,6 +149,33 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def crc_table() -> list[int]:
+    """What each byte does to a CRC-32."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ 0xEDB88320 if n & 1 else n >> 1
+        out.append(n)
+    return out
+
+
+OP7_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS g, coalesce(CAST(octet_length(encode(text)) AS BIGINT), 0) + 16 AS size,
+         xor(4294967295, list_reduce(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda a, b: xor(a >> 8,
+             list_extract(CAST({crc_table()} AS BIGINT[]), (xor(a, CAST('0x' || b AS BIGINT)) & 255) + 1)), 4294967295)) AS text_crc32 FROM documents
+), h AS (
+  SELECT *, CAST('0x' || substr(md5('5:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(text_crc32 AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM d
+), r AS (
+  SELECT *, CAST(2 * row_number() OVER (PARTITION BY g ORDER BY h, doc_id, text_crc32) - 1 AS DOUBLE) / (2 * count(*) OVER (PARTITION BY g)) AS f FROM h
+), a AS (
+  SELECT *, row_number() OVER (ORDER BY f, g, h, doc_id, text_crc32) - 1 AS place, count(*) OVER () AS total FROM r
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 40 // total AS INTEGER) AS shard,
+       CAST(place - (place * 40 // total * total + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM a
+"""
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document kept in a progressive JPEG, written and read back; digests, features and the RGB tensor of each image.
 
@@ -173,4 +223,4 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_mix": OP3_SQL, "op5_top_k": OP5_SQL}
+SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_mix": OP3_SQL, "op4_ngram_join": OP4_SQL, "op5_top_k": OP5_SQL, "op7_shards": OP7_SQL}

@@ -335,7 +335,7 @@ def test_langid_held_out_accuracy(spark):
     assert rows["right"] >= 0.97 and rows["gone"] <= 0.02
 
 
-@pytest.mark.parametrize("name", ["op2_warc", "op3_mix", "op5_top_k"])
+@pytest.mark.parametrize("name", ["op2_warc", "op3_mix", "op4_ngram_join", "op5_top_k", "op7_shards"])
 def test_sql(spark, name):
     import duckdb
 
