@@ -17,8 +17,9 @@ fewer words is one shingle), each a 64-bit hash. Two texts link when den * inter
 5. The texts of a cluster meet in one task, if they are few; a cluster of more than ``ROWS`` texts or ``UNIT``
    shingles is dealt to blocks of about half of that, and ``LEADERS`` texts of it, chosen by hash, go to every block,
    so that near copies in unlike blocks are connected by the leaders. Only texts that then still stand apart from the
-   most of their cluster go to all its blocks: they, and no pair of blocks, meet every text again. Their blocks grow with
-   their number, so that up to ``WIDE`` shingles of them the texts are read twice at most.
+   most of their cluster meet all its texts again: both are dealt to at most ``SPREAD`` blocks, each with each, so a text
+   is read a bounded number of times unless more than ``WIDE`` shingles would meet in a block. Where few stand apart
+   they are one block, and every text is read twice.
 6. A block is searched by DivideSkip: of a query's inverted lists the longest, fewer than the required overlap T, are
    set aside; the others are merged by a heap and their counts, with binary probes of the long lists, decide which
    records reach T. Records already connected to the query are skipped: of linked texts, enough links for the
@@ -55,8 +56,10 @@ COUNTED = 3_000_000
 #: Texts and shingles up to which a cluster is searched in one task.
 ROWS = 128
 UNIT = 1_000_000
-#: Texts of a larger cluster that go to each of its blocks, and most shingles of texts that stand apart in a block.
+#: Texts of a larger cluster that go to each of its blocks; blocks to which the texts of a cluster and those that stand
+#: apart in it are dealt, each; shingles of a block beyond which there are more.
 LEADERS = 4
+SPREAD = 16
 WIDE = 1_000_000
 
 _rng = np.random.default_rng(2024)
@@ -504,13 +507,13 @@ def apart(docs: DataFrame, nodes: DataFrame, large: DataFrame, found: DataFrame,
     most = written(most, "most")
     few = most.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     now = now.join(F.broadcast(most) if few else most, "component").withColumn("guest", F.col("known") != F.col("most")).drop("most")
-    there = now.where("guest").groupBy("component").agg(F.sum("n").alias("out"))
-    there = written(there.join(large.select("component", "all", "blocks"), "component"), "apart")
+    there = now.groupBy("component").agg(F.count("*").alias("rows"), F.sum(F.col("guest").cast("long")).alias("z"), F.sum(F.when(F.col("guest"), F.col("n")).otherwise(0)).alias("out"))
+    there = written(there.where("z > 0").join(large.select("component", "all"), "component"), "apart")
     if there.isEmpty():
         return None
-    # blocks of all texts grow with the guests, up to WIDE; more guests than that are dealt to blocks of their own
-    wide = F.least(F.lit(WIDE), F.greatest(F.ceil(F.col("all") / F.col("blocks")), F.col("out")))
-    there = there.select("component", F.ceil(F.col("all") / wide).cast("int").alias("is"), F.ceil(F.col("out") / WIDE).cast("int").alias("js"))
+    blocks = lambda rows: F.least(F.lit(SPREAD), F.ceil(F.col(rows) / (8 * ROWS)))
+    there = there.withColumn("is", F.greatest(blocks("rows"), F.ceil(F.col("all") / WIDE)).cast("int"))
+    there = there.select("component", "is", F.greatest(F.least(blocks("z"), F.ceil(SPREAD * SPREAD / F.col("is"))), F.ceil(F.col("out") / WIDE)).cast("int").alias("js"))
     few = there.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     now = now.join(F.broadcast(there) if few else there, "component")
     i, j = F.pmod(F.xxhash64(F.lit(5), "id"), F.col("is")).cast("int"), F.pmod(F.xxhash64(F.lit(6), "id"), F.col("js")).cast("int")
