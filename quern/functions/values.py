@@ -36,6 +36,11 @@ def try_cast(x: Column, dtype: str) -> Column:
     return x.try_cast(spark_type(dtype))
 
 
+def equal(a: Column, b: Column) -> Column:
+    """Of values of any kind; none equals none."""
+    return a.eqNullSafe(b)
+
+
 def uuid() -> Column:
     return F.uuid()
 

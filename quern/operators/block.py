@@ -11,6 +11,10 @@ from ..schema import TensorSchema
 from .tensor import Tensor
 
 
+#: Target blocks whose sums a task holds before it passes them on.
+HELD = 64
+
+
 def pack(t: Tensor, edge: int) -> DataFrame:
     """(i, j, data): edge x edge float64 blocks, row-major; edges beyond the matrix are zero."""
     rows = t.df.select(F.expr(f"x0 DIV {edge}").alias("i"), F.expr(f"x1 DIV {edge}").alias("j"), (F.col("x0") % edge * edge + F.col("x1") % edge).cast("int").alias("o"), F.col("v").cast("double").alias("v"))
@@ -41,10 +45,21 @@ def matmul(a: Tensor, b: Tensor, edge: int = 256) -> Tensor:
     right = pack(b, edge).select(F.col("i").alias("k"), "j", F.col("data").alias("r"))
 
     def multiply(batches):
+        """Products, those of one target block added up while at most HELD blocks wait."""
+        held: dict[tuple, np.ndarray] = {}
+
+        def made():
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held]), pa.array([k[1] for k in held]), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["i", "j", "data"])
+            held.clear()
+
         for batch in batches:
             for i, j, l, r in zip(*[batch.column(k).to_pylist() for k in range(4)]):
-                data = np.frombuffer(l).reshape(edge, edge) @ np.frombuffer(r).reshape(edge, edge)
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([j]), pa.array([data.tobytes()], pa.binary())], names=["i", "j", "data"])
+                x = np.frombuffer(l).reshape(edge, edge) @ np.frombuffer(r).reshape(edge, edge)
+                held[i, j] = held[i, j] + x if (i, j) in held else x
+                if len(held) > HELD:
+                    yield from made()
+        if held:
+            yield from made()
 
     def add(batches):
         at, total = None, None

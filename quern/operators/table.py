@@ -28,6 +28,23 @@ def placed(df: DataFrame, by: list, name: str = "position") -> DataFrame:
     return out.withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__at", "__part", "__of", "__before")
 
 
+def _last(df: DataFrame, keys: list[str], rest: list[str], by: list[str]) -> DataFrame:
+    """Of the rows of each key, that with the greatest ``by``, then of the greatest other columns; combined map-side."""
+    kept = [c for c in rest if c not in by]
+    if not kept and not by:
+        return df.select(*keys).distinct()
+    last = df.groupBy(*keys).agg(F.max(F.struct(*by, *kept)).alias("__last"))
+    return last.select(*keys, *[F.col(f"__last.{c}").alias(c) for c in kept])
+
+
+def _by_key(left: DataFrame, right: DataFrame, keys: list[str], how: str, *more: str) -> DataFrame:
+    """The columns of ``left`` (and ``more`` of the right), joined on keys of which nulls are equal too."""
+    names = {k: f"__key{i}" for i, k in enumerate(keys)}
+    right = right.select(*[F.col(k).alias(n) for k, n in names.items()], *more)
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(right, on, how).drop(*names.values())
+
+
 @dataclass(frozen=True)
 class Table:
     """Rows, their schema, and the view put on them.
@@ -170,8 +187,8 @@ class Table:
         return found[0] if found else None
 
     def read_rows(self, keys: DataFrame) -> DataFrame:
-        """The rows of many keys at once."""
-        return self.df.join(keys.select(*self.schema.key_names).distinct(), self.schema.key_names, "left_semi").select(*self.columns)
+        """The rows of many keys at once; a null is a key like any other."""
+        return _by_key(self.df, keys, self.schema.key_names, "left_semi").select(*self.columns)
 
     def contains(self, key: tuple | None = None, **ranges) -> bool:
         if key is not None:
@@ -194,6 +211,14 @@ class Table:
         df = self.df if self.most is None else self.rows()
         return df.groupBy(*columns).agg(*[e.alias(n) for n, e in aggregates.items()])
 
+    def rolled_up(self, columns: list[str], **aggregates: Expr) -> DataFrame:
+        """``aggregate`` for every prefix of ``columns``, the empty one too (an extension)."""
+        return self.df.rollup(*columns).agg(*[e.alias(n) for n, e in aggregates.items()])
+
+    def ranked(self, by: list[str], name: str = "rank") -> DataFrame:
+        """Each row's place from 1, in the view's order, among those alike in ``by`` (an extension)."""
+        return self.df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*self._sorting())).cast("long"))
+
     def join(self, other: Table, on: list[str], how: str = "inner") -> DataFrame:
         return self.df.join(other.df, on, how)
 
@@ -212,14 +237,19 @@ class Table:
     def upsert(self, key: tuple, values: tuple = ()) -> Table:
         return self._put(self._row(key, values))
 
-    def upsert_rows(self, rows: DataFrame) -> Table:
-        """Insert or replace by key. Rows that share a key are cut to one."""
-        return self._put(self.schema.validate(rows.select(*self.schema.names)).dropDuplicates(self.schema.key_names))
+    def upsert_rows(self, rows: DataFrame, latest: str | None = None) -> Table:
+        """Insert or replace by key.
+
+        Of rows that share a key, that with the greatest value of the column ``latest`` stays; without one, and among
+        equals, the greatest of the rows themselves, so that the result does not depend on how they come.
+        """
+        names, keys = self.schema.names, self.schema.key_names
+        checked = self.schema.validate(rows.select(*names, *([F.col(latest).alias("__latest")] if latest else [])))
+        return self._put(_last(checked, keys, [c for c in names if c not in keys], ["__latest"] if latest else []).select(*names))
 
     def _put(self, rows: DataFrame) -> Table:
         self._writable()
-        on = [self.df[k].eqNullSafe(rows[k]) for k in self.schema.key_names]
-        return replace(self, df=self.df.join(rows, on, "left_anti").unionByName(rows))
+        return replace(self, df=_by_key(self.df, rows, self.schema.key_names, "left_anti").unionByName(rows))
 
     def insert(self, key: tuple, values: tuple = ()) -> Table:
         if self.contains(key):
@@ -227,15 +257,17 @@ class Table:
         return self.upsert(key, values)
 
     def insert_rows(self, rows: DataFrame) -> Table:
-        """Append rows whose keys are new; a key that is there fails the query when it runs."""
+        """Append rows whose keys are new; a key that is there, or comes twice, fails the query when it runs.
+
+        Only the new rows' keys are looked up in the table, which is neither sorted nor windowed.
+        """
         self._writable()
-        rows = self.schema.validate(rows.select(*self.schema.names))
-        keys = self.schema.key_names
-        every = self.df.withColumn("__new", F.lit(0)).unionByName(rows.withColumn("__new", F.lit(1)))
-        # equal keys meet in one partition; only the keys of new rows can repeat
-        n = F.count("*").over(Window.partitionBy(*keys))
-        checked = every.withColumn("__n", n).withColumn("__new", F.when(F.col("__n") > 1, F.raise_error(F.lit("a key is there already")).cast("int")).otherwise(F.col("__new")))
-        return replace(self, df=checked.where("__new >= 0").drop("__new", "__n"))
+        rows, keys = self.schema.validate(rows.select(*self.schema.names)), self.schema.key_names
+        twice = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+        there = _by_key(self.df, twice, keys, "left_semi").select(*keys).withColumn("__there", F.lit(True))
+        met = _by_key(twice, there, keys, "left", "__there").withColumn("__bad", F.col("__there").isNotNull() | (F.col("__n") > 1))
+        new = _by_key(rows, met, keys, "inner", "__bad").withColumn("__new", F.when(F.col("__bad"), F.raise_error(F.lit("a key is there already")).cast("boolean")).otherwise(F.lit(True))).drop("__bad")
+        return replace(self, df=self.df.unionByName(new.where("__new").drop("__new")))
 
     def update(self, values: dict[str, Any], **ranges) -> Table:
         """Set value columns of the rows in a range (all, without one)."""
@@ -258,10 +290,10 @@ class Table:
 
     def delete_rows(self, keys: DataFrame) -> Table:
         self._writable()
-        return replace(self, df=self.df.join(keys.select(*self.schema.key_names), self.schema.key_names, "left_anti"))
+        return replace(self, df=_by_key(self.df, keys, self.schema.key_names, "left_anti"))
 
     def merged(self, deltas: list[tuple[DataFrame, DataFrame]]) -> Table:
-        """The table after a sequence of (upserted rows, deleted keys): the last writer of a key wins.
+        """The table after a sequence of (upserted rows, deleted keys): the last writer of a key wins, in one delta the greatest row.
 
         One shuffle by key whatever the number of deltas: every version of a row is tagged with its place.
         """
@@ -276,5 +308,4 @@ class Table:
         for r in rows[1:]:
             every = every.unionByName(r)
         rest = [c for c in [*names, "__gone"] if c not in keys]
-        last = every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__at").alias("__last"))
-        return replace(self, df=last.where("NOT __last.__gone").select(*keys, *[F.col(f"__last.{c}").alias(c) for c in rest if c != "__gone"]).select(*names))
+        return replace(self, df=_last(every, keys, rest, ["__at"]).where("NOT __gone").select(*names))

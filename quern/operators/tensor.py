@@ -15,7 +15,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,13 +25,20 @@ from ..ranges import axes as parse_axes
 from ..schema import TensorSchema, promote, spark_type
 from ..sources.storage import written
 from . import shape as S
+from .table import placed
 
 FLOATS = ("f32", "f64")
 
 
+#: Rows of a coordinate join beyond which a dense product takes numpy blocks, and their edge.
+JOINED = 50_000_000
+EDGE = 256
+
+
 def _uniform(i: Column, seed: int) -> Column:
-    """In [0, 1), from 52 bits of a hash of the seed and a coordinate."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), i), 12) / F.lit(float(1 << 52))
+    """In [0, 1), from 52 bits of the MD5 of seed:coordinate; any SQL engine can repeat it."""
+    text = F.concat_ws(":", F.lit(str(seed)), i.cast("string"))
+    return F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def _normal(i: Column, seed: int) -> Column:
@@ -486,11 +493,11 @@ class Tensor:
         return self.df.agg(F.coalesce(F.bool_or(N.truth(F.col("v"))), F.lit(False)).alias("v"))
 
     def argsort(self) -> Tensor:
-        """Places of a vector's elements in ascending order. Ranks are global: one partition sorts, as for any argsort."""
+        """Places of a vector's elements in ascending order: sorted ranges, each numbered apart and shifted by those before."""
         if self.ndim != 1:
             raise QueryError("argsort takes a vector")
-        df = self.to_dense().df.withColumn("at", (F.row_number().over(Window.orderBy("v", "x0")) - 1).cast("long"))
-        return Tensor(df.select(F.col("at").alias("x0"), F.col("x0").alias("v")), TensorSchema("i64", self.shape))
+        df = placed(self.to_dense().df, [F.col("v"), F.col("x0")], "at")
+        return Tensor(df.select((F.col("at") - 1).cast("long").alias("x0"), F.col("x0").alias("v")), TensorSchema("i64", self.shape))
 
     # -- transforms
 
@@ -633,14 +640,21 @@ class Tensor:
     # -- products
 
     def matmul(self, other: Tensor, blocks: int | None = None) -> Tensor:
-        """Over the last two axes, leading ones broadcast. ``blocks``: edge of numpy blocks, for large dense matrices."""
+        """Over the last two axes, leading ones broadcast.
+
+        ``blocks``: edge of numpy blocks; by itself for dense matrices whose join on coordinates would make over
+        ``JOINED`` rows. Blocks are float64, so integer products beyond 2**53 need ``blocks=0``.
+        """
         self._real("matmul"), other._real("matmul")
         if self.ndim < 2 or other.ndim < 2 or self.shape[-1] != other.shape[-2]:
             raise QueryError(f"can't multiply {self.shape} by {other.shape}")
-        if blocks and self.ndim == other.ndim == 2 and not (self.sparse or other.sparse):
-            from .block import matmul
+        if self.ndim == other.ndim == 2 and not (self.sparse or other.sparse):
+            if blocks is None and promote(self.dtype, other.dtype) in FLOATS and self.shape[0] * self.shape[1] * other.shape[1] > JOINED:
+                blocks = EDGE
+            if blocks:
+                from .block import matmul
 
-            return matmul(self, other, blocks)
+                return matmul(self, other, blocks)
         lead = S.broadcast(self.shape[:-2] or (1,), other.shape[:-2] or (1,)) if self.ndim > 2 or other.ndim > 2 else ()
         n = len(lead)
         a = (self.expand_to(n + 2).broadcast((*lead, *self.shape[-2:])) if n else self).df

@@ -14,8 +14,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
+from ..functions import number as N
 from ..operators import shape as S
 from ..operators.tensor import Tensor
+from ..schema import spark_type
 
 
 @dataclass(frozen=True, eq=False)
@@ -66,6 +68,37 @@ class Node:
     def reshape(self, shape) -> Node:
         return Node("reshape", (self,), S.reshape(self.shape, shape))
 
+    def reduce(self, op: str, axes=None, keepdims: bool = False) -> Node:
+        """max, min or product over axes."""
+        like = self.sum(axes, keepdims)
+        return Node(op, (self,), like.shape, like.data)
+
+    def max(self, axes=None, keepdims: bool = False) -> Node:
+        return self.reduce("max", axes, keepdims)
+
+    def min(self, axes=None, keepdims: bool = False) -> Node:
+        return self.reduce("min", axes, keepdims)
+
+    def product(self, axes=None, keepdims: bool = False) -> Node:
+        return self.reduce("product", axes, keepdims)
+
+    def norm(self, axes=None, keepdims: bool = False) -> Node:
+        """The root of the sum of squares; of a zero vector the gradient is taken to be zero."""
+        s = (self * self).sum(axes, keepdims)
+        return cond(positive(s), cond(positive(s), s, 1.0) ** 0.5, 0.0)
+
+    def cast(self, dtype: str) -> Node:
+        return Node("cast", (self,), self.shape, dtype)
+
+    def slice(self, *bounds: slice | int) -> Node:
+        """Axes without bounds are kept whole; an index drops its axis."""
+        full = tuple(slice(*b.indices(d)) if isinstance(b, slice) else b % d for b, d in zip((*bounds, *[slice(None)] * len(self.shape)), self.shape))
+        return Node("slice", (self,), tuple(len(range(*b.indices(d))) for b, d in zip(full, self.shape) if isinstance(b, slice)), full)
+
+    def compare(self, op: str, other) -> Node:
+        """eq, ne, gt, ge, lt, le, and, or, xor: conditions, of no gradient."""
+        return self._bin(op, other)
+
     def broadcast(self, shape) -> Node:
         return self if self.shape == tuple(shape) else Node("broadcast", (self,), tuple(shape))
 
@@ -90,6 +123,25 @@ def cond(c: Node, a, b) -> Node:
     return Node("cond", (c, a, b), S.broadcast(c.shape, S.broadcast(a.shape, b.shape)))
 
 
+def concatenate(parts: list[Node], axis: int = 0) -> Node:
+    axis = S.axis(axis, len(parts[0].shape))
+    if any(len(p.shape) != len(parts[0].shape) or any(a != b for k, (a, b) in enumerate(zip(p.shape, parts[0].shape)) if k != axis) for p in parts):
+        raise QueryError("shapes differ off the axis")
+    return Node("concatenate", tuple(parts), tuple(sum(p.shape[axis] for p in parts) if k == axis else d for k, d in enumerate(parts[0].shape)), axis)
+
+
+def tile(x: Node, times: int, axis: int = 0) -> Node:
+    return concatenate([x] * times, axis)
+
+
+def log(x: Node, base) -> Node:
+    return ln(x) / ln(wrap(base))
+
+
+def negation(x: Node) -> Node:
+    return x.unary("not")
+
+
 def positive(x: Node) -> Node:
     return x.unary("positive")
 
@@ -112,8 +164,10 @@ SLOPES = {
     "exp": lambda x, y: y, "ln": lambda x, y: 1.0 / x, "sin": lambda x, y: cos(x), "cos": lambda x, y: -sin(x), "tan": lambda x, y: 1.0 + y * y,
     "sinh": lambda x, y: cosh(x), "cosh": lambda x, y: sinh(x), "tanh": lambda x, y: 1.0 - y * y, "asin": lambda x, y: (1.0 - x * x) ** -0.5, "acos": lambda x, y: -((1.0 - x * x) ** -0.5),
     "atan": lambda x, y: 1.0 / (1.0 + x * x), "asinh": lambda x, y: (x * x + 1.0) ** -0.5, "acosh": lambda x, y: (x * x - 1.0) ** -0.5, "atanh": lambda x, y: 1.0 / (1.0 - x * x),
-    "abs": lambda x, y: cond(positive(x), 1.0, cond(positive(-x), -1.0, 0.0)), "positive": lambda x, y: wrap(0.0),
+    "abs": lambda x, y: cond(positive(x), 1.0, cond(positive(-x), -1.0, 0.0)), "positive": lambda x, y: wrap(0.0), "not": lambda x, y: wrap(0.0),
+    "cast": lambda x, y: wrap(1.0),
 }
+CONDITIONS = {"eq": np.equal, "ne": np.not_equal, "gt": np.greater, "ge": np.greater_equal, "lt": np.less, "le": np.less_equal, "and": np.logical_and, "or": np.logical_or, "xor": np.logical_xor}
 
 
 def _shrunk(g: Node, shape: tuple[int, ...]) -> Node:
@@ -149,6 +203,26 @@ def _back(n: Node, g: Node) -> list[Node]:
         axes, keepdims = n.data
         kept = tuple(1 if i in axes else d for i, d in enumerate(a[0].shape))
         return [(g if keepdims or not kept else g.reshape(kept)).broadcast(a[0].shape)]
+    if n.op in CONDITIONS:
+        return [wrap(0.0), wrap(0.0)]
+    if n.op in ("max", "min", "product"):
+        axes, keepdims = n.data
+        kept = tuple(1 if i in axes else d for i, d in enumerate(a[0].shape))
+        wide = lambda x: (x if keepdims or not kept else x.reshape(kept)).broadcast(a[0].shape)
+        if n.op == "product":  # of what the other factors give, zeros among them or not
+            none = a[0].compare("eq", 0.0)
+            safe, zeros = cond(none, 1.0, a[0]), cond(none, 1.0, 0.0).sum(axes, True).broadcast(a[0].shape)
+            others = safe.product(axes, True).broadcast(a[0].shape)
+            return [wide(g) * cond(none, cond(zeros.compare("eq", 1.0), others, 0.0), cond(zeros.compare("eq", 0.0), others / safe, 0.0))]
+        hit = cond(a[0].compare("eq", wide(n)), 1.0, 0.0)  # equal extremes share it
+        return [wide(g) * hit / hit.sum(axes, True).broadcast(a[0].shape)]
+    if n.op == "slice":
+        return [Node("place", (g,), a[0].shape, n.data)]
+    if n.op == "place":
+        return [Node("slice", (g,), a[0].shape, n.data)]
+    if n.op == "concatenate":
+        ends = np.cumsum([0, *(p.shape[n.data] for p in a)]).tolist()
+        return [g.slice(*[slice(None)] * n.data, slice(x, y)) for x, y in zip(ends, ends[1:])]
     if n.op == "transpose":
         return [g.transpose(tuple(np.argsort(n.data).tolist()))]
     if n.op == "reshape":
@@ -190,6 +264,22 @@ def gradients(root: Node, names: list[str]) -> dict[str, Node]:
     return {k: simplify(found[k]) if k in found else wrap(0.0) for k in names}
 
 
+def substitute(root: Node, values: dict[str, Node]) -> Node:
+    """The graph with other graphs in the place of variables."""
+    done: dict[int, Node] = {}
+    for n in order(root):
+        a = tuple(done[id(x)] for x in n.args)
+        done[id(n)] = values[n.data] if n.op == "var" and n.data in values else Node(n.op, a, n.shape, n.data) if a != n.args else n
+    return done[id(root)]
+
+
+def chain_rule(outer: Node, name: str, inner: Node, by: str) -> Node:
+    """The derivative by ``by`` of ``outer`` with ``inner`` as its variable ``name``: outer'(inner) * inner', for scalars."""
+    if outer.shape or inner.shape:
+        raise QueryError("chain_rule takes scalars; gradients() takes any graph")
+    return simplify(substitute(gradients(outer, [name])[name], {name: inner}) * gradients(inner, [by])[by])
+
+
 def simplify(root: Node) -> Node:
     """x + 0, x * 1, x * 0, x / 1, x ** 1, x - 0 and constants; safe for finite numbers."""
     done: dict[int, Node] = {}
@@ -216,7 +306,7 @@ def simplify(root: Node) -> Node:
 
 _NUMPY = {
     "add": np.add, "sub": np.subtract, "mul": np.multiply, "div": np.divide, "pow": np.power, "exp": np.exp, "ln": np.log, "abs": np.abs, "sin": np.sin, "cos": np.cos, "tan": np.tan, "sinh": np.sinh, "cosh": np.cosh, "tanh": np.tanh,
-    "asin": np.arcsin, "acos": np.arccos, "atan": np.arctan, "asinh": np.arcsinh, "acosh": np.arccosh, "atanh": np.arctanh, "matmul": np.matmul, "positive": lambda x: np.asarray(x) > 0,
+    "asin": np.arcsin, "acos": np.arccos, "atan": np.arctan, "asinh": np.arcsinh, "acosh": np.arccosh, "atanh": np.arctanh, "matmul": np.matmul, "positive": lambda x: np.asarray(x) > 0, "not": np.logical_not, **CONDITIONS,
 }
 
 
@@ -227,12 +317,25 @@ def _run(root: Node, env: dict, step) -> Any:
     return done[id(root)]
 
 
+DTYPES = {"bool": "?", "i16": "i2", "i32": "i4", "i64": "i8", "u8": "u1", "u16": "u2", "u32": "u4", "u64": "u8", "f32": "f4", "f64": "f8"}
+
+
 def numpy(root: Node, env: dict[str, Any]) -> np.ndarray:
     def step(n: Node, a: list):
         if n.op == "const":
             return n.data
-        if n.op == "sum":
-            return np.sum(a[0], axis=n.data[0], keepdims=n.data[1])
+        if n.op in ("sum", "max", "min", "product"):
+            return getattr(np, n.op if n.op != "product" else "prod")(a[0], axis=n.data[0], keepdims=n.data[1])
+        if n.op == "slice":
+            return np.asarray(a[0])[n.data]
+        if n.op == "place":
+            out = np.zeros(n.shape)
+            out[n.data] = a[0]
+            return out
+        if n.op == "concatenate":
+            return np.concatenate(a, n.data)
+        if n.op == "cast":
+            return np.asarray(a[0]).astype(np.dtype(DTYPES.get(n.data, n.data)))
         if n.op == "transpose":
             return np.transpose(a[0], n.data)
         if n.op == "reshape":
@@ -257,8 +360,12 @@ def column(root: Node, env: dict[str, Column]) -> Column:
             return a[0] > 0
         if n.op == "cond":
             return F.when(a[0], a[1]).otherwise(a[2])
-        if n.op in ("broadcast", "reshape", "sum", "transpose") and not n.shape:
+        if n.op in ("broadcast", "reshape", "sum", "max", "min", "product", "transpose") and not n.shape:
             return a[0]
+        if n.op == "cast":
+            return a[0].cast(spark_type(n.data))
+        if n.op == "not" or n.op in CONDITIONS:
+            return N.UNARY["not"](a[0]) if n.op == "not" else N.BINARY[n.op](*a)
         return binary[n.op](*a) if n.op in binary else getattr(F, n.op)(a[0])
 
     return _run(root, env, step)
@@ -271,8 +378,8 @@ def tensor(root: Node, env: dict[str, Tensor]) -> Tensor:
     def step(n: Node, a: list):
         if n.op == "const":
             return float(n.data) if not n.shape else Tensor.load(spark, n.shape, np.asarray(n.data, float).ravel().tolist(), "f64")
-        if n.op == "sum":
-            out = a[0].sum(n.data[0], n.data[1])
+        if n.op in ("sum", "max", "min", "product"):
+            out = getattr(a[0], n.op)(n.data[0], n.data[1])
             return out if isinstance(out, Tensor) else Tensor(out.select(F.lit(0).cast("long").alias("x0"), "v"), a[0].schema.__class__("f64", (1,)))
         if n.op == "transpose":
             return a[0].transpose(n.data)
@@ -284,6 +391,15 @@ def tensor(root: Node, env: dict[str, Tensor]) -> Tensor:
             return a[0].cond(a[1], a[2])
         if n.op == "positive":
             return a[0].with_number("gt", 0)
+        if n.op == "cast":
+            return a[0].cast(n.data)
+        if n.op == "slice":
+            return a[0].slice(n.data)
+        if n.op == "place":
+            zeros = Tensor.zeros(spark, n.shape)
+            return zeros.write(n.data, a[0])
+        if n.op == "concatenate":
+            return Tensor.concatenate([x if isinstance(x, Tensor) else Tensor.constant(spark, p.shape, x) for x, p in zip(a, n.args)], n.data)
         if n.op == "matmul":
             return a[0].matmul(a[1])
         if len(a) == 1:

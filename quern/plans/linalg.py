@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
 from ..operators.tensor import Tensor, xs
 from ..schema import TensorSchema
+from ..sources.storage import written
 
 
 def householder(x: np.ndarray) -> tuple[np.ndarray, float]:
@@ -95,48 +97,75 @@ def svd(a: np.ndarray, rank: int | None = None, epsilon: float = 1e-12, max_iter
     return u[:, :k], s[:k], v.T[:k]
 
 
-def batched(t: Tensor, fn: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...]) -> Tensor:
-    """Apply ``fn`` to each matrix in the last two axes; it gives arrays of ``shape``. A matrix must fit one task."""
+def cells(t: Tensor, spark_keys: list[str]):
+    """A row for each matrix of the last two axes: its keys and its cells (row, column, value), combined map-side."""
+    lead = t.ndim - 2
+    cell = F.struct(F.col(f"x{lead}").cast("int").alias("r"), F.col(f"x{lead + 1}").cast("int").alias("c"), F.col("v").cast("double").alias("v"))
+    df = t.df if lead else t.df.withColumn("__one", F.lit(0).cast("long"))
+    return df.groupBy(*spark_keys).agg(F.collect_list(cell).alias("cells"))
+
+
+def batched(t: Tensor, fn: Callable[[np.ndarray], tuple], *shapes: tuple[int, ...]) -> tuple[Tensor, ...]:
+    """Apply ``fn`` to each matrix in the last two axes; it gives an array for each of ``shapes``.
+
+    All come from one pass: a row for each matrix holds them, written if there are several. A matrix must fit one task.
+    """
     lead, (n, m) = t.ndim - 2, t.shape[-2:]
     t = t.to_dense()
     keys = xs(lead) or ["__one"]
-    df = t.df if lead else t.df.withColumn("__one", F.lit(0).cast("long"))
-    rows, cols = f"x{lead}", f"x{lead + 1}"
 
-    def run(table: pa.Table) -> pa.Table:
-        a = np.zeros((n, m))
-        a[table.column(rows).to_numpy(), table.column(cols).to_numpy()] = table.column("v").to_numpy()
-        out = np.asarray(fn(a), float).reshape(shape)
-        at = np.indices(shape).reshape(len(shape), -1)
-        size = out.size
-        head = [pa.array(np.full(size, table.column(k)[0].as_py())) for k in keys if lead]
-        return pa.Table.from_arrays([*head, *[pa.array(c) for c in at], pa.array(out.ravel())], names=[*xs(lead + len(shape)), "v"])
+    def run(batches):
+        for batch in batches:
+            made: list[list] = [[] for _ in shapes]
+            for row in batch.column(len(keys)):
+                flat, a = row.values, np.zeros((n, m))
+                a[flat.field("r").to_numpy(), flat.field("c").to_numpy()] = flat.field("v").to_numpy()
+                for out, x in zip(made, fn(a)):
+                    out.append(np.asarray(x, float).ravel())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *[pa.array(x, pa.list_(pa.float64())) for x in made]], names=[*keys, *[f"f{k}" for k in range(len(shapes))]])
 
-    schema = ", ".join([f"{c} long" for c in xs(lead + len(shape))] + ["v double"])
-    out = df.withColumn("v", F.col("v").cast("double")).groupBy(*keys).applyInArrow(run, schema)
-    return Tensor(out, TensorSchema("f64", t.shape[:-2] + shape))
+    schema = ", ".join([f"{k} long" for k in keys] + [f"f{k} array<double>" for k in range(len(shapes))])
+    out = cells(t, keys).mapInArrow(run, schema)
+    out = written(out, "factors") if len(shapes) > 1 else out
+    return tuple(_factor(out, xs(lead), f"f{k}", t.shape[:-2], shape) for k, shape in enumerate(shapes))
+
+
+def _factor(rows: DataFrame, keys: list[str], column: str, lead: tuple[int, ...], shape: tuple[int, ...]) -> Tensor:
+    """One array of each row as a tensor's cells."""
+    axes = []
+    for k in range(len(shape)):
+        step = int(np.prod(shape[k + 1 :]))
+        axes.append(F.expr(f"CAST(at AS BIGINT) DIV {step} % {shape[k]}").alias(f"x{len(keys) + k}"))
+    return Tensor(rows.select(*keys, F.posexplode(column).alias("at", "v")).select(*keys, *axes, "v"), TensorSchema("f64", (*lead, *shape)))
 
 
 def t_qr(t: Tensor) -> tuple[Tensor, Tensor]:
     n, m = t.shape[-2:]
-    return batched(t, lambda a: qr(a)[0], (n, n)), batched(t, lambda a: qr(a)[1], (n, m))
+    return batched(t, qr, (n, n), (n, m))
 
 
 def t_plu(t: Tensor) -> tuple[Tensor, Tensor, Tensor]:
     n = t.shape[-1]
-    return tuple(batched(t, lambda a, k=k: plu(a)[k], (n, n)) for k in range(3))
+    return batched(t, lambda a: plu(a)[:3], (n, n), (n, n), (n, n))
 
 
 def t_det(t: Tensor) -> Tensor:
-    return batched(t, lambda a: np.array([det(a)]), (1,))
+    return batched(t, lambda a: ([det(a)],), (1,))[0]
 
 
 def t_slogdet(t: Tensor) -> Tensor:
     """The last axis holds sign and logarithm."""
-    return batched(t, lambda a: np.array(slogdet(a)), (2,))
+    return batched(t, lambda a: (slogdet(a),), (2,))[0]
 
 
 def t_svd(t: Tensor, rank: int | None = None) -> tuple[Tensor, Tensor, Tensor]:
     n, m = t.shape[-2:]
     k = min(n, m, rank or n)
-    return batched(t, lambda a: svd(a, k)[0], (n, k)), batched(t, lambda a: svd(a, k)[1], (k,)), batched(t, lambda a: svd(a, k)[2], (k, m))
+    return batched(t, lambda a: svd(a, k), (n, k), (k,), (k, m))
+
+
+def t_householder(t: Tensor) -> tuple[Tensor, Tensor]:
+    """(v, tau) of each row of a matrix."""
+    n = t.shape[-1]
+    v, tau = batched(t.expand_dims(t.ndim - 1), lambda a: (lambda v, tau: (v, [tau]))(*householder(a[0])), (n,), (1,))
+    return v, tau

@@ -12,14 +12,16 @@ from .functions import number as N
 from .functions import values as V
 from .operators.btree import OrderedSet
 from .operators.einsum import einsum
-from .operators.graph import Edge
+from .operators.graph import Edge, Graph
 from .operators.table import Table
 from .operators.tensor import Tensor
 from .plans import autodiff as ad
 from .plans import linalg, ml, ops
+from .plans.differentiable import differentiable
 from .ranges import Bound, Range
-from .schema import TableSchema
-from .sources.snapshots import hash_chain
+from .schema import TableSchema, bounds
+from .sources.snapshots import Store, hash_chain
+from .sources.storage import new_path
 from .streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -338,13 +340,25 @@ for _op, (_fn, _sql) in _MAPS.items():
     query(f"map_{_op}", f"SELECT doc_id, {_sql} AS v FROM documents")(lambda s, d, fn=_fn: read(s, d, "documents").select("doc_id", fn().alias("v")))
 
 query("string_render", "SELECT doc_id, 'doc ' || CAST(doc_id AS VARCHAR) || ' (' || lang || ') from ' || source || '.' AS v FROM documents")(lambda s, d: read(s, d, "documents").select("doc_id", V.render("doc {{doc_id}} ({{ lang }}) from {{{source}}}.", {"doc_id": F.col("doc_id"), "lang": F.col("lang"), "source": F.col("source")}).alias("v")))
-query("value_eq", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag IS NOT DISTINCT FROM l_linestatus AS v FROM lineitem")(lambda s, d: read(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_returnflag").eqNullSafe(F.col("l_linestatus")).alias("v")))
-query("value_ne", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag IS DISTINCT FROM l_linestatus AS v FROM lineitem")(lambda s, d: read(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (~F.col("l_returnflag").eqNullSafe(F.col("l_linestatus"))).alias("v")))
+query("value_eq", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag IS NOT DISTINCT FROM l_linestatus AS v FROM lineitem")(lambda s, d: read(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", V.equal(F.col("l_returnflag"), F.col("l_linestatus")).alias("v")))
+query("value_ne", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag IS DISTINCT FROM l_linestatus AS v FROM lineitem")(lambda s, d: read(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (~V.equal(F.col("l_returnflag"), F.col("l_linestatus"))).alias("v")))
 query("value_cast", "SELECT c_custkey, CAST(CAST(c_custkey AS VARCHAR) AS INTEGER) AS v FROM customer")(lambda s, d: read(s, d, "customer").select("c_custkey", V.cast(F.col("c_custkey").cast("string"), "i32").alias("v")))
 query("value_try_cast", "SELECT c_custkey, TRY_CAST(c_name AS BIGINT) AS v FROM customer")(lambda s, d: read(s, d, "customer").select("c_custkey", V.try_cast(F.col("c_name"), "i64").alias("v")))
 query("value_link", "SELECT page_id, split_part(url, '://', 1) AS protocol, split_part(split_part(split_part(split_part(url, '://', 2), '/', 1), '?', 1), '#', 1) AS host FROM pages")(lambda s, d: read(s, d, "pages").select("page_id", V.link_parts(F.col("url"))["protocol"].alias("protocol"), V.link_parts(F.col("url"))["host"].alias("host")))
 query("value_version", "SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS major, CAST(1 AS BIGINT) AS minor, c_custkey AS rev FROM customer")(lambda s, d: read(s, d, "customer").select("c_custkey", V.version(F.concat_ws(".", F.col("c_nationkey").cast("string"), F.lit("1"), F.col("c_custkey").cast("string"))).alias("x")).select("c_custkey", "x.major", "x.minor", "x.rev"))
-query("state_hash")(lambda s, d: V.state_hash(read(s, d, "nation")))
+
+query(
+    "state_hash",
+    """WITH r AS (SELECT sha256('{"n_name":' || to_json(n_name) || ',"n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS h FROM nation),
+    w AS (SELECT i, count(*) AS n, CAST(sum(CAST('0x' || substr(h, CAST(8 * i + 1 AS BIGINT), 8) AS BIGINT)) AS VARCHAR) AS w FROM r, range(8) t(i) GROUP BY i)
+    SELECT max(n) AS n, sha256(max(n) || ':' || string_agg(w, ':' ORDER BY i)) AS hash FROM w""",
+)(lambda s, d: V.state_hash(read(s, d, "nation")))
+query("value_uuid_bytes", "SELECT c_custkey, upper(substr(md5(CAST(c_custkey AS VARCHAR)), 1, 32)) AS v FROM customer")(
+    lambda s, d: (lambda h: read(s, d, "customer").select("c_custkey", F.hex(V.uuid_bytes(F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)))).alias("v")))(F.md5(F.encode(F.col("c_custkey").cast("string"), "UTF-8")))
+)
+query("value_email", "SELECT c_custkey, c_custkey % 2 = 0 AS v FROM customer")(lambda s, d: read(s, d, "customer").select("c_custkey", V.is_email(F.concat("c_name", F.when(F.col("c_custkey") % 2 == 0, F.lit("@example.org")).otherwise(F.lit(" at example")))).alias("v")))
+query("value_is_link", "SELECT page_id, true AS v FROM pages")(lambda s, d: read(s, d, "pages").select("page_id", V.is_link(F.col("url")).alias("v")))
+query("num_bounds", "SELECT * FROM (VALUES ('i16', CAST(-32768 AS BIGINT), CAST(32767 AS BIGINT)), ('i32', -2147483648, 2147483647), ('i64', -9223372036854775808, 9223372036854775807)) t(kind, low, high)")(lambda s, d: s.createDataFrame([(k, *bounds(k)) for k in ("i16", "i32", "i64")], "kind string, low long, high long"))
 
 # -- tensors: the embeddings as a matrix E of n x 64, R its first row
 
@@ -439,10 +453,38 @@ query("tensor_ones", "SELECT CAST(i AS BIGINT) AS x0, 1::DOUBLE AS v FROM range(
 query("tensor_eye", "SELECT CAST(i AS BIGINT) AS x0, CAST(i AS BIGINT) AS x1, true AS v FROM range(5) t(i)")(lambda s, d: Tensor.eye(s, 5).df)
 query("tensor_load", "SELECT CAST(i // 2 AS BIGINT) AS x0, CAST(i % 2 AS BIGINT) AS x1, CAST(i * i AS BIGINT) AS v FROM range(4) t(i)")(lambda s, d: Tensor.load(s, (2, 2), [0, 1, 4, 9]).df)
 query("tensor_load_sparse", "SELECT CAST(1 AS BIGINT) AS x0, CAST(2 AS BIGINT) AS x1, 2.5::DOUBLE AS v")(lambda s, d: Tensor.load(s, (3, 3), [((1, 2), 2.5)]).df)
-query("tensor_random_uniform")(lambda s, d: Tensor.random_uniform(s, (20, 10), -1, 1, seed=4).df)
-query("tensor_random_normal")(lambda s, d: Tensor.random_normal(s, (20, 10), 5, 2, seed=4).df)
+
+_DRAW = "CAST('0x' || substr(md5('{0}:' || i), 1, 13) AS BIGINT) / 4503599627370496.0"
+_GRID = "SELECT CAST(i // 10 AS BIGINT) AS x0, CAST(i % 10 AS BIGINT) AS x1, round({0}, 6) + 0.0 AS v FROM range(200) t(i)"
+query("tensor_random_uniform", _GRID.format(_DRAW.format(4) + " * 2 - 1"))(lambda s, d: out(Tensor.random_uniform(s, (20, 10), -1, 1, seed=4)))
+query("tensor_random_normal", _GRID.format(f"sqrt(-2 * ln(1 - {_DRAW.format(9)})) * cos(2 * pi() * {_DRAW.format(10)}) * 2 + 5"))(lambda s, d: out(Tensor.random_normal(s, (20, 10), 5, 2, seed=4)))
 query("tensor_truncated_normal")(lambda s, d: Tensor.truncated_normal(s, (20, 10), 0, 1, seed=4).df)
 
+# complex tensors: e + i (the vector read backwards)
+C_SQL = (
+    "WITH c AS (SELECT vec_id AS x0, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS x1, CAST(unnest(embedding) AS DOUBLE) AS a, CAST(unnest(list_reverse(embedding)) AS DOUBLE) AS b, "
+    "CAST(unnest((SELECT embedding FROM embeddings WHERE vec_id = 0)) AS DOUBLE) + 2 AS r FROM embeddings) "
+)
+
+
+def _complex_matrix(s, d) -> Tensor:
+    e = matrix(s, d)
+    return e.cast("c64") + e.flip(1).cast("c64") * 1j
+
+
+def _parts(t: Tensor, digits: int = 6) -> DataFrame:
+    return t.df.select("x0", "x1", *[(F.round(F.col(f"v.{p}"), digits) + F.lit(0.0)).alias(p) for p in ("re", "im")])
+
+
+for _op, _sql, _fn in (
+    ("add", "a + r AS re, b AS im", lambda c, r: c + r), ("sub", "a - r AS re, b AS im", lambda c, r: c - r), ("mul", "a * r AS re, b * r AS im", lambda c, r: c * r), ("div", "a / r AS re, b / r AS im", lambda c, r: c / r),
+    ("mul_number", "a * 2 - b AS re, a + b * 2 AS im", lambda c, r: c * (2 + 1j)), ("square", "a * a - b * b AS re, 2 * a * b AS im", lambda c, r: c**2), ("exp", "exp(a) * cos(b) AS re, exp(a) * sin(b) AS im", lambda c, r: c.unary("exp")),
+    ("conj", "a AS re, -b AS im", lambda c, r: c.unary("conj")),
+):
+    query(f"tensor_complex_{_op}", C_SQL + f"SELECT x0, x1, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM (SELECT x0, x1, {_sql} FROM c)")(lambda s, d, fn=_fn: _parts(fn(_complex_matrix(s, d), (matrix(s, d).slice((0,)) + 2).cast("c64"))))
+for _op, _sql in (("abs", "sqrt(a * a + b * b)"), ("angle", "atan2(b, a)"), ("real", "a"), ("imag", "b")):
+    query(f"tensor_complex_{_op}", C_SQL + f"SELECT x0, x1, round({_sql}, 6) + 0.0 AS v FROM c")(lambda s, d, op=_op: out(_complex_matrix(s, d).unary(op)))
+
 # sparse: quantity by (part, supplier)
 _P = "WITH p AS (SELECT l_partkey AS x0, l_suppkey AS x1, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), q AS (SELECT l_partkey AS x0, l_suppkey AS x1, CAST(count(*) AS DOUBLE) AS v FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2) "
 
@@ -482,6 +524,8 @@ query("sparse_filled_at", _P + "SELECT DISTINCT x0 FROM p")(lambda s, d: sparse(
 query("sparse_dense_mul", _P + "SELECT x0, x1, round(v * x1, 4) + 0.0 AS v FROM p WHERE x1 <> 0")(lambda s, d: (lambda p: out(p * Tensor.arange(s, (p.shape[1],), 0, p.shape[1]), 4))(sparse(s, d)))
 query("sparse_to_dense", _P + "SELECT CAST(i AS BIGINT) AS x0, CAST(j AS BIGINT) AS x1, round(coalesce(v, 0), 4) + 0.0 AS v FROM range((SELECT max(l_partkey) + 1 FROM lineitem)) a(i) CROSS JOIN range((SELECT max(l_suppkey) + 1 FROM lineitem)) b(j) LEFT JOIN p ON x0 = i AND x1 = j")(lambda s, d: out(sparse(s, d).to_dense(), 4))
 
+query("sparse_matmul_parts")(lambda s, d: (lambda q: out(q @ q.transpose(), 3))(sparse(s, d, "q")))  # its SQL takes long; tests/test_whole.py has it by numpy
+
 # -- graphs
 
 query("graph_fk_primary", "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS id FROM customer WHERE c_acctbal > 9000")(lambda s, d: Edge.of(read(s, d, "customer"), "c_custkey", "c_nationkey").primary(read(s, d, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("id"))))
@@ -507,7 +551,18 @@ def _bfs(s, d, n):
 for _n in (1, 2, 3):
     query(f"graph_bfs_{_n}", _bfs_sql(_n))(lambda s, d, n=_n: _bfs(s, d, n))
 query("graph_link_unlink", "SELECT CAST(n_nationkey AS BIGINT) AS from_id, CAST(n_regionkey AS BIGINT) AS to_id FROM nation WHERE n_nationkey <> 0 UNION ALL SELECT 99, 1")(lambda s, d: (lambda n: Edge.of(n, "n_nationkey", "n_regionkey").link(99, 1).unlink(0, n.where("n_nationkey = 0").first()["n_regionkey"]).df)(read(s, d, "nation")))
-query("graph_max_id", "SELECT max(c_custkey) AS id FROM customer")(lambda s, d: read(s, d, "customer").agg(F.max("c_custkey").alias("id")))
+
+
+def _graph(s, d) -> Graph:
+    return Graph({n: table(s, d, n) for n in ("region", "nation", "customer")}, {("nation", "n_regionkey"): "region", ("customer", "c_nationkey"): "nation"})
+
+
+query("graph_max_id", "SELECT max(c_custkey) AS id FROM customer")(lambda s, d: _graph(s, d).max_id("customer"))
+query("graph_read_vector", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")(lambda s, d: _graph(s, d).read_vector("customer", read(s, d, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("id"))).select("c_custkey", "c_name"))
+query("graph_foreign_key", "SELECT c_custkey AS id FROM customer WHERE c_nationkey = 3")(lambda s, d: _graph(s, d).foreign_key("customer", "c_nationkey").foreign(s.createDataFrame([(3,)], "id long")))
+query("graph_upsert", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey <> 5 UNION ALL SELECT 5, 'five', 2 UNION ALL SELECT 77, 'new', 1")(lambda s, d: _graph(s, d).upsert("nation", (5,), ("five", 2)).upsert("nation", (77,), ("new", 1)).table("nation").df)
+query("graph_update_row", "SELECT n_nationkey, CASE WHEN n_nationkey = 5 THEN 4 ELSE n_regionkey END AS n_regionkey FROM nation")(lambda s, d: _graph(s, d).update_row("nation", (5,), {"n_regionkey": 4}).table("nation").df.select("n_nationkey", "n_regionkey"))
+query("graph_delete_cascade", "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")(lambda s, d: _graph(s, d).delete_row("region", (1,), cascade=True).table("customer").df.select("c_custkey", "c_nationkey"))
 
 # -- operations, chains, streams
 
@@ -541,16 +596,55 @@ def _(s, d):
     return ops.fold(ops.map_items([1, 2], add), add(0), lambda a, b: a.unionByName(b))
 
 
-query("chain_hash_log")(lambda s, d: hash_chain(read(s, d, "events"), "event_id", ["event_id", "user_id", "event_type"]))
+query(
+    "chain_hash_log",
+    """WITH RECURSIVE r AS (SELECT event_id // 1000 AS block, event_id, sha256(event_id || '|' || coalesce(CAST(user_id AS VARCHAR), '') || '|' || coalesce(event_type, '')) AS h FROM events),
+    b AS (SELECT block, count(*) AS n, sha256(string_agg(h, '' ORDER BY event_id)) AS payload_hash, row_number() OVER (ORDER BY block) AS k FROM r GROUP BY block),
+    c AS (SELECT b.*, sha256(repeat('0', 64) || payload_hash) AS chain_hash FROM b WHERE k = 1 UNION ALL SELECT b.*, sha256(c.chain_hash || b.payload_hash) FROM c JOIN b ON b.k = c.k + 1)
+    SELECT block, n, payload_hash, chain_hash FROM c""",
+)(lambda s, d: hash_chain(read(s, d, "events"), "event_id", ["event_id", "user_id", "event_type"]))
+
+
+def _store(s, d, change) -> Store:
+    """A store in the shared folder with the customers, changed in a transaction of its own and committed."""
+    store = Store(s, new_path(s, "store"))
+    tx = store.begin()
+    tx.put("customer", table(s, d, "customer"))
+    tx.commit()
+    tx = store.begin()
+    change(tx)
+    tx.commit()
+    return store
+
+
+@query("chain_append", f"SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (1, 2) UNION ALL SELECT 1, 'one', 1.5 UNION ALL SELECT c_custkey + 1000000, c_name, c_acctbal FROM customer WHERE c_nationkey = 1")
+def _(s, d):
+    def change(tx):
+        tx.upsert("customer", (1,), ("one", 3, 1.5, "none"))
+        tx.delete("customer", (2,))
+        tx.upsert_rows("customer", _delta(s, d).where("c_custkey >= 1000000"))
+
+    return _store(s, d, change).table("customer").df.select("c_custkey", "c_name", "c_acctbal")
+
+
+@query("chain_log", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'customer', 'put', ''), (2, 'customer', 'upsert', '[[1], [\"one\", 3, 1.5, \"none\"]]'), (2, 'customer', 'delete', '[2]')) t(version, \"table\", op, detail)")
+def _(s, d):
+    def change(tx):
+        tx.upsert("customer", (1,), ("one", 3, 1.5, "none"))
+        tx.delete("customer", (2,))
+
+    return _store(s, d, change).log()
+
+
 query("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS stop, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")(lambda s, d: windows.tumbling(read(s, d, "events"), "ts", "1 hour", ["event_type"]).withColumn("total", F.round("total", 4)))
 query("stream_sessions", "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events), c AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, user_id, count(*) AS n FROM c GROUP BY user_id, g")(lambda s, d: windows.sessions(read(s, d, "events"), "ts", "30 minutes", ["user_id"]))
 
 # -- relational extensions
 
-query("ext_window_rank", "SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders")(lambda s, d: read(s, d, "orders").select("o_orderkey", "o_custkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long").alias("rn")))
-query("ext_set_ops", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier")(lambda s, d: read(s, d, "customer").select(F.col("c_nationkey").alias("k")).subtract(read(s, d, "supplier").select("s_nationkey")))
-query("ext_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")(lambda s, d: read(s, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")))
-query("ext_semi_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(lambda s, d: read(s, d, "customer").join(read(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey"))
+query("ext_window_rank", "SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey DESC) AS rn FROM orders")(lambda s, d: table(s, d, "orders").order_by(["o_totalprice"], True).ranked(["o_custkey"], "rn").select("o_orderkey", "o_custkey", "rn"))
+query("ext_set_ops", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier")(lambda s, d: (lambda of: of("customer", "c_nationkey").difference(of("supplier", "s_nationkey")).df)(lambda name, c: OrderedSet.copy_from([("k", I)], read(s, d, name).select(F.col(c).alias("k")))))
+query("ext_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")(lambda s, d: Table(read(s, d, "lineitem").select("l_returnflag", "l_linestatus"), TableSchema(())).rolled_up(["l_returnflag", "l_linestatus"], n=F.count("*")))
+query("ext_semi_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(lambda s, d: table(s, d, "customer").delete_rows(read(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"))).df.select("c_custkey"))
 
 # -- linear algebra, derivatives, learning (deterministic, but beyond SQL unless stated)
 
@@ -564,15 +658,46 @@ def _matrices(s, d) -> Tensor:
 _MATRICES_SQL = E_SQL + "SELECT x0, x1 // 8 AS x1, x1 % 8 AS x2, round(v, 4) + 0.0 AS v FROM e"
 query("linalg_qr_reconstruct", _MATRICES_SQL)(lambda s, d: (lambda q, r: out(q @ r, 4))(*linalg.t_qr(_matrices(s, d))))
 query("linalg_plu_reconstruct", _MATRICES_SQL)(lambda s, d: (lambda p, l, u: out(p @ (l @ u), 4))(*linalg.t_plu(_matrices(s, d))))
-query("linalg_det")(lambda s, d: linalg.t_det(_matrices(s, d)).df)
-query("linalg_slogdet")(lambda s, d: linalg.t_slogdet(_matrices(s, d)).df)
-query("linalg_svd_values")(lambda s, d: linalg.t_svd(_matrices(s, d))[1].df)
+
+
+def _small(s, d) -> Tensor:
+    """Every vector as sixteen 2 x 2 matrices."""
+    return matrix(s, d).reshape((None, 16, 2, 2))
+
+
+_SMALL_SQL = E_SQL + ", m AS (SELECT x0, x1 // 4 AS x1, max(v) FILTER (x1 % 4 = 0) AS a, max(v) FILTER (x1 % 4 = 1) AS b, max(v) FILTER (x1 % 4 = 2) AS c, max(v) FILTER (x1 % 4 = 3) AS d FROM e GROUP BY 1, 2), f AS (SELECT x0, x1, a * d - b * c AS det, a * a + b * b + c * c + d * d AS s FROM m) "
+query("linalg_det", _SMALL_SQL + "SELECT x0, x1, CAST(0 AS BIGINT) AS x2, round(det, 5) + 0.0 AS v FROM f")(lambda s, d: out(linalg.t_det(_small(s, d)), 5))
+query("linalg_slogdet", _SMALL_SQL + "SELECT x0, x1, CAST(0 AS BIGINT) AS x2, CAST(sign(det) AS DOUBLE) AS v FROM f UNION ALL SELECT x0, x1, 1, round(ln(abs(det)), 3) + 0.0 FROM f WHERE det <> 0 UNION ALL SELECT x0, x1, 1, CAST('-inf' AS DOUBLE) FROM f WHERE det = 0")(lambda s, d: out(linalg.t_slogdet(_small(s, d)), 3))
+query("linalg_svd_values", _SMALL_SQL + "SELECT x0, x1, CAST(k AS BIGINT) AS x2, round(sqrt(greatest((s + (1 - 2 * k) * sqrt(greatest(s * s - 4 * det * det, 0))) / 2, 0)), 4) + 0.0 AS v FROM f, range(2) t(k)")(lambda s, d: out(linalg.t_svd(_small(s, d))[1], 4))
+query("linalg_svd_reconstruct", E_SQL + "SELECT x0, x1 // 8 AS x1, x1 % 8 AS x2, round(v, 3) + 0.0 AS v FROM e")(lambda s, d: (lambda u, w, v: out((u * w.expand_dims(1)) @ v, 3))(*linalg.t_svd(_matrices(s, d))))
+# of 8 x 8 matrices, beyond SQL; tests/test_whole.py has them by numpy
+query("linalg_det_large")(lambda s, d: linalg.t_det(_matrices(s, d)).df)
+query("linalg_slogdet_large")(lambda s, d: linalg.t_slogdet(_matrices(s, d)).df)
+query("linalg_svd_values_large")(lambda s, d: linalg.t_svd(_matrices(s, d))[1].df)
+query("linalg_householder", E_SQL + "SELECT x0, round(sqrt(sum(v * v)), 4) + 0.0 AS v FROM e GROUP BY x0")(
+    # the reflection of a row has its norm in the first component and nothing else: |x - tau (v.x) v|
+    lambda s, d: (lambda e: (lambda v, tau: out((e - v * ((e * v).sum(1, True) * tau)).norm(1), 4))(*linalg.t_householder(e)))(matrix(s, d))
+)
 query("autodiff_column", "SELECT c_custkey, round(-sin(c_acctbal / 1000) * exp(c_acctbal / 10000) + cos(c_acctbal / 1000) * exp(c_acctbal / 10000) / 10, 6) + 0.0 AS v FROM customer")(
     lambda s, d: read(s, d, "customer").select("c_custkey", (F.round(ad.column(ad.gradients(ad.cos(ad.var("x")) * ad.exp(ad.var("x") / 10.0), ["x"])["x"], {"x": F.col("c_acctbal") / 1000}), 6) + F.lit(0.0)).alias("v"))
 )
 query("autodiff_tensor", E_SQL + "SELECT x0, x1, round(2 * v, 6) + 0.0 AS v FROM e")(lambda s, d: (lambda e: out(ad.tensor(ad.gradients((ad.var("x", e.shape) ** 2.0).sum(), ["x"])["x"], {"x": e})))(matrix(s, d)))
 
 
+query("autodiff_softmax", E_SQL + "SELECT x0, x1, round(exp(v) / sum(exp(v)) OVER (PARTITION BY x0), 6) + 0.0 AS v FROM e")(lambda s, d: (lambda e: out(ad.tensor(ad.softmax(ad.var("x", e.shape)), {"x": e})))(matrix(s, d)))
+query("autodiff_max", E_SQL + "SELECT x0, x1, CASE WHEN v = max(v) OVER (PARTITION BY x0) THEN round(1.0 / count(*) OVER (PARTITION BY x0, v), 6) ELSE 0.0 END AS v FROM e")(lambda s, d: (lambda e: out(ad.tensor(ad.gradients(ad.var("x", e.shape).max(1).sum(), ["x"])["x"], {"x": e})))(matrix(s, d)))
+query("autodiff_concatenate_slice", E_SQL + "SELECT x0, x1, CASE WHEN x1 >= 32 THEN 4.0 ELSE 1.0 END AS v FROM e")(
+    # of x beside 3 x, all of the first and the latter half of the second
+    lambda s, d: (lambda e: out(ad.tensor(ad.gradients((lambda x: ad.concatenate([x, x * 3.0], 1).slice(slice(None), slice(0, 64)).sum() + ad.concatenate([x, x * 3.0], 1).slice(slice(None), slice(96, 128)).sum())(ad.var("x", e.shape)), ["x"])["x"], {"x": e})))(matrix(s, d))
+)
+query("autodiff_function", "SELECT c_custkey, round(2 * (c_acctbal / 1000) * exp(pow(c_acctbal / 1000, 2) / 100) / 100, 6) + 0.0 AS v FROM customer")(lambda s, d: read(s, d, "customer").select("c_custkey", (F.round(_bell.derivative()(F.col("c_acctbal") / 1000), 6) + F.lit(0.0)).alias("v")))
+
+
+@differentiable()
+def _bell(x):
+    return ad.exp(x**2.0 / 100.0)
+
+
 @query("ml_train_step")
 def _(s, d):
     df = read(s, d, "embeddings").where("size(embedding) = 64").select("embedding", F.array((F.col("label") / 10.0).cast("double")).alias("target"))

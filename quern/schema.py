@@ -41,6 +41,15 @@ def spark_type(dtype: str) -> T.DataType:
     return NUMBERS.get(dtype) or SIZED[dtype]
 
 
+def bounds(dtype: str) -> tuple[int, int]:
+    """The least and the greatest value of an integer type; unsigned ones are held in the next wider signed type."""
+    kind = concrete(dtype)
+    if kind[0] not in "iu" or not kind[1:].isdigit():
+        raise QueryError(f"{dtype} has no bounds")
+    n = int(kind[1:])
+    return (0, (1 << n) - 1) if kind[0] == "u" else (-(1 << n - 1), (1 << n - 1) - 1)
+
+
 def promote(*dtypes: str) -> str:
     """The type of an operation on mixed operands: the later in the order of promotion."""
     order = list(NUMBERS)

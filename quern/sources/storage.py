@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import QueryError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """``spark.checkpoint.dir``; where that is unset a local session takes a temporary folder, and a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise QueryError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -24,9 +30,8 @@ def filesystem(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write to the shared folder and read back; the files go when the driver ends."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def gone():
@@ -37,5 +42,11 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
             pass
 
     atexit.register(gone)
+    return path
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write to the shared folder and read back; the files go when the driver ends."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -28,6 +28,6 @@ def deduplicated(df: DataFrame, keys: list[str], ts: str, late: str) -> DataFram
 
 def log_stream(spark: SparkSession, path: str) -> DataFrame:
     """A store's log as it grows."""
-    from ..sources.snapshots import LOG
+    from ..sources.snapshots import LOGGED, mutations
 
-    return spark.readStream.schema(LOG).json(f"{path}/log")
+    return mutations(spark.readStream.schema(LOGGED).json(f"{path}/versions"))
