@@ -244,8 +244,9 @@ class Table:
         equals, the greatest of the rows themselves, so that the result does not depend on how they come.
         """
         names, keys = self.schema.names, self.schema.key_names
-        checked = self.schema.validate(rows.select(*names, *([F.col(latest).alias("__latest")] if latest else [])))
-        return self._put(_last(checked, keys, [c for c in names if c not in keys], ["__latest"] if latest else []).select(*names))
+        rows = rows.select(*names, *([F.col(latest).alias("__latest")] if latest else []))
+        last = _last(rows, keys, [c for c in names if c not in keys], ["__latest"] if latest else [])
+        return self._put(self.schema.validate(last.select(*names)))
 
     def _put(self, rows: DataFrame) -> Table:
         self._writable()

@@ -21,19 +21,27 @@ def number(df):
 RNG = np.random.default_rng(0)
 
 
-def test_slices_and_writes(spark):
-    a = np.arange(1, 91).reshape(2, 5, 3, 3)
-    t = Tensor.arange(spark, (2, 5, 3, 3), 1, 91)
-    assert (t.to_numpy() == a).all() and t.dtype == "i64"
-    assert (t.slice((slice(None), slice(None), slice(1, -1), slice(1, -1))).to_numpy() == a[:, :, 1:-1, 1:-1]).all()
-    assert (t.slice((0, [3, 1, 3], slice(0, 3, 2))).to_numpy() == a[0][[3, 1, 3]][:, 0:3:2]).all()
-    assert t.slice((1, 4, 2, -1)) == 90
-    b = a.copy()
-    b[:, :, 1:-1, 1:-1] = 1
-    assert (t.write((slice(None), slice(None), slice(1, -1), slice(1, -1)), 1).to_numpy() == b).all()
-    z = Tensor.zeros(spark, (2, 2, 5), "i64").write((slice(None), 1), Tensor.arange(spark, (2, 5), 0, 10))
-    assert z.to_numpy()[:, 1].tolist() == np.arange(10).reshape(2, 5).tolist() and not z.to_numpy()[:, 0].any()
-    for bad in ((5,), (0, 0, 0, 0, 0), (slice(3, 3),)):
+@pytest.mark.parametrize("seed", range(6))
+def test_slices_and_writes_agree_with_numpy(spark, seed):
+    """Random shapes, indices, steps and lists; numbers and tensors written into what they select."""
+    rng = np.random.default_rng(seed)
+    shape = tuple(int(d) for d in rng.integers(2, 7, int(rng.integers(1, 4))))
+    a = rng.integers(-50, 50, shape)
+    t, bounds = dense(spark, a), []
+    for d in shape:
+        kind, lo = rng.integers(0, 3), int(rng.integers(0, d))
+        bounds.append([lo - d if rng.random() < 0.3 else lo, slice(lo, int(rng.integers(lo + 1, d + 1)), int(rng.integers(1, 3))), slice(None)][kind])
+    want = a[tuple(bounds)]
+    got = t.slice(tuple(bounds))
+    assert got == want if want.ndim == 0 else (got.to_numpy() == want).all() and got.shape == want.shape
+    picked = [int(i) for i in rng.integers(0, shape[0], 4)]
+    assert (t.slice((picked,)).to_numpy() == a[picked]).all()
+    for value in (77, rng.integers(0, 9, want.shape) if want.ndim else None):
+        if value is not None:
+            b = a.copy()
+            b[tuple(bounds)] = value
+            assert (t.write(tuple(bounds), value if np.ndim(value) == 0 else dense(spark, value)).to_numpy() == b).all()
+    for bad in ((shape[0],), (0,) * (len(shape) + 1), (slice(1, 1),)):
         with pytest.raises(QueryError):
             t.slice(bad)
 
