@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -23,10 +25,15 @@ def col(name: str):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset a local session takes a temporary folder; a cluster is refused, as its parts would not share it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -52,6 +59,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of written tables that nothing lazy reads any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            drop_path(df.sparkSession, path)
+
+
 def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Cut the lineage: write to the shared folder, read back. Survives the loss of any executor."""
     spark = df.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 
     Every step is a map-side combined minimum for each node and an inner join that adaptive execution can split at
     a hub; the result of each is written, so lost executors cost one step. The number of steps grows with the
-    logarithm of the longest chain. Pairs with nulls, self-pairs and repeated pairs do no harm.
+    logarithm of the longest chain. A step's table is deleted when the next is written. Pairs with nulls, self-pairs and repeated pairs do no harm.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e, state = written(e, "cc"), None
@@ -21,10 +21,12 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        e = written(large, "cc")
+        e, before = written(large, "cc"), e
+        discard(before)
         low = e.groupBy("a").agg(F.min("b").alias("m"))
         small = e.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        e = written(small, "cc")
+        e, before = written(small, "cc"), e
+        discard(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break

@@ -43,7 +43,7 @@ LEAF = 512
 FANOUT = 16
 BLOCK = 4096
 PIVOTS = 256
-TOGETHER = 512
+TOGETHER = 2048
 EXACT = float(1 << 53)
 HUGE = 2.0**500
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow_map, col, slices, written
+from .common import BROADCAST_ROWS, arrow_map, col, discard, slices, written
 from .graph import components
 from .sharding import numbered
 
@@ -531,10 +531,11 @@ def link(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, num
     copies = every_set.where("n > 0 AND id IS NOT NULL").select("id", "f").join(classes.select("f", F.col("id").alias("rep")), "f").where("id <> rep")
     copies = copies.join(classes.select("id"), "id", "left_anti").groupBy("id").agg(F.min("rep").alias("rep"))
     copies = written(copies, "copies")
-    pairs = written(candidates(docs, k, num, den), "pairs")
+    pairs = shared = written(candidates(docs, k, num, den), "pairs")
     for end in ("a", "b"):
         pairs = pairs.join(copies.select(F.col("id").alias(end), F.col("rep").alias(f"{end}_of")), end, "left").withColumn(end, F.coalesce(f"{end}_of", end)).drop(f"{end}_of")
     nodes, large = clusters(classes, components(pairs))
+    discard(shared, copies)
     # rows of one id are one node, though their texts differ
     twice = every_set.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("f").alias("f"), F.max("f").alias("g")).where("f <> g").select("id")
     tied = every_set.join(twice, "id", "left_semi").join(classes.select("f", F.col("id").alias("rep")), "f").select(F.col("id").alias("a"), F.col("rep").alias("b"))
