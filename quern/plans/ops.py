@@ -9,6 +9,7 @@ evaluating an op builds a plan; only conditions of ``While`` and ``If`` that are
 from __future__ import annotations
 
 import functools
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import NotFound, QueryError
+from ..operators.table import Table
+from ..schema import TableSchema
 from ..sources.storage import written
 
 
@@ -300,6 +303,83 @@ class Library:
         return getattr(self, route)(**params)
 
 
+def reflect(fn: Callable) -> Callable:
+    """A method written as operations: what it returns is evaluated with the method's arguments in scope."""
+
+    @functools.wraps(fn)
+    def call(self, *args, **kwargs):
+        names = list(inspect.signature(fn).parameters)[1:]
+        return evaluate(fn(self, *args, **kwargs), Scope({"self": self, **dict(zip(names, args)), **kwargs}))
+
+    call.verb = "post"
+    return call
+
+
+class Instance:
+    """A state and the prototype that its attributes and operations come from; what it sets itself hides the prototype's.
+
+    An operation of the prototype is called with the instance's attributes in scope.
+    """
+
+    def __init__(self, prototype: dict[str, Any] | Instance, **state):
+        self._prototype, self._state = prototype, dict(state)
+
+    def attributes(self) -> dict[str, Any]:
+        return (self._prototype.attributes() if isinstance(self._prototype, Instance) else dict(self._prototype)) | self._state
+
+    def get(self, name: str) -> Any:
+        found = self.attributes()
+        if name not in found:
+            raise NotFound(name)
+        return found[name]
+
+    def call(self, name: str, **params) -> Any:
+        op = self.get(name)
+        if not isinstance(op, Op):
+            raise QueryError(f"{name} is no operation")
+        return op(**{p: params[p] if p in params else self.get(p) for p in op._params})
+
+    def made(self, **state) -> Instance:
+        """A new instance whose prototype is this one."""
+        return Instance(self, **state)
+
+
+class Model:
+    """Rows of a table as objects: a subclass declares ``key`` and ``values`` as columns, and may add methods.
+
+    ``table`` gives the class's table from a DataFrame, ``of`` a row as an instance, ``saved`` the table with it in.
+    """
+
+    key: list[tuple] = []
+    values: list[tuple] = []
+
+    def __init__(self, *cells):
+        names = self.schema().names
+        if len(cells) != len(names):
+            raise QueryError(f"the columns are {names}")
+        self.__dict__.update(zip(names, cells))
+
+    @classmethod
+    def schema(cls) -> TableSchema:
+        return TableSchema.of(cls.key, cls.values)
+
+    @classmethod
+    def table(cls, df: DataFrame) -> Table:
+        return Table.copy_from(cls.schema(), df)
+
+    @classmethod
+    def of(cls, table: Table, key: tuple) -> Model:
+        row = table.read(key)
+        if row is None:
+            raise NotFound(key)
+        return cls(*[row[c] for c in cls.schema().names])
+
+    def saved(self, table: Table) -> Table:
+        names = self.schema()
+        cells = lambda columns: tuple(getattr(self, c.name) for c in columns)
+        return table.upsert(cells(names.key), cells(names.values))
+
+
 class Registry:
     def __init__(self):
         self.found: dict[tuple[str, str], Library] = {}
