@@ -1,5 +1,6 @@
 """The pipeline's stages, each against a brute-force version of its decisions on what it was given."""
 
+import hashlib
 import re
 
 import pytest
@@ -19,6 +20,28 @@ def folder(spark, tmp_path_factory):
     return path
 
 
+def copies(rows):
+    """How often each document comes, by targets and draws of one's own."""
+    sizes = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows}
+    order = sorted({r["source"] for r in rows}, key=lambda s: (s is None, (s or "").encode()))
+    total = {s: sum(sizes[r["doc_id"]] for r in rows if r["source"] == s) for s in order}
+    weight, full = {s: k % 3 + 1 for k, s in enumerate(order)}, set()
+    while True:
+        rest, left = sum(total.values()) - 3 * sum(total[s] for s in full), sum(weight[s] for s in order if s not in full)
+        more = {s for s in order if s not in full and 3 * total[s] * left < weight[s] * rest}
+        if not more:
+            break
+        full |= more
+    out = {}
+    for r in rows:
+        s = r["source"]
+        rate = (3.0 * total[s] if s in full else weight[s] * rest / left) / total[s] if total[s] else 0.0
+        seed = f"20:{r['doc_id']}:{hashlib.md5((r['text'] or '').encode()).hexdigest()}:1"
+        u = int(hashlib.md5(seed.encode()).hexdigest()[:13], 16) / 2**52
+        out[r["doc_id"]] = int(rate) + (u < rate - int(rate))
+    return out
+
+
 def test_stages(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     seen = [docs]
@@ -56,7 +79,7 @@ def test_stages(spark, folder, tmp_path):
     for r in rows[4]:
         assert r == given[r["doc_id"]]
         count[r["doc_id"]] = count.get(r["doc_id"], 0) + 1
-    assert max(count.values()) <= 3
+    assert max(count.values()) <= 3 and {i: n for i, n in copies(rows[3]).items() if n} == count
     # 5: the ids decode to the text
     v = pieces.load(PIECES)
     assert len(rows[5]) == len(rows[4]) and all(r["round_trip"] for r in rows[5])
