@@ -20,6 +20,7 @@ from .plans import linalg, ml, ops
 from .plans.differentiable import differentiable
 from .ranges import Bound, Range
 from .schema import TableSchema, bounds
+from .sources import files
 from .sources.snapshots import Store, hash_chain
 from .sources.storage import new_path
 from .streaming import windows
@@ -225,6 +226,19 @@ def _(s, d):
     return s.createDataFrame([(c, c in t.key_columns) for c in t.columns], "name string, is_key boolean")
 
 
+
+
+def _reread(s, made):
+    """What is read back of a table or tensor saved in the shared folder."""
+    path = new_path(s, "saved")
+    files.save(made, path)
+    return files.load(s, path)
+
+
+query("table_save_load", f"SELECT {_C} FROM customer")(lambda s, d: _reread(s, table(s, d, "customer")).df.select(*SCHEMAS["customer"].names))
+query("table_copy_view", "SELECT c_name, c_acctbal FROM customer WHERE c_acctbal < 0")(lambda s, d: table(s, d, "customer").where(c_acctbal=slice(None, 0)).select(["c_name", "c_acctbal"]).copy().df.select("c_name", "c_acctbal"))
+query("btree_copy_from", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")(lambda s, d: OrderedSet.copy_from([("o_orderstatus", S, 10), ("o_orderpriority", S, 100)], read(s, d, "orders")).df)
+
 # -- ordered sets
 
 _B = [("l_returnflag", S, 1), ("l_linestatus", S, 1), ("l_linenumber", I)]
@@ -433,6 +447,7 @@ tensor_query("einsum_ij_ji", "SELECT x1 AS x0, x0 AS x1, round(v, 6) + 0.0 AS v
 tensor_query("einsum_scalar", "SELECT round(sum(a.v * b.v), 3) + 0.0 AS v FROM e a JOIN e b ON a.x0 = b.x0 AND a.x1 = b.x1", lambda e: einsum("ij,ij->", [e, e]), 3)
 tensor_query("gram_matrix", "SELECT a.x1 AS x0, b.x1, round(sum(a.v * b.v), 3) + 0.0 AS v FROM e a JOIN e b ON a.x0 = b.x0 GROUP BY a.x1, b.x1", lambda e: einsum("ij,ik->jk", [e, e]), 3)
 tensor_query("argsort", "SELECT row_number() OVER (ORDER BY v, x1) - 1 AS x0, x1 AS v FROM r", lambda e: e.slice((0,)).argsort(), None)
+query("tensor_save_load", E_SQL + "SELECT x0, x1, round(v, 6) + 0.0 AS v FROM e")(lambda s, d: out(_reread(s, matrix(s, d))))
 query("tensor_count_filled", E_SQL + "SELECT count(*) AS n FROM e WHERE v > 1")(lambda s, d: matrix(s, d).binary("gt", 1).to_sparse().df.agg(F.count("*").alias("n")))
 
 tensor_query("diagonal", "SELECT x0, x1 % 8 AS x1, round(v, 6) + 0.0 AS v FROM e WHERE x1 // 8 = x1 % 8", lambda e: e.reshape((None, 8, 8)).diagonal())
