@@ -23,7 +23,8 @@ Components must be integers (see ``quantised``). Where products may reach 2**53
 integers, slower and exact. Scores beyond 64 bits are ranked exactly and given as the nearest 64-bit number. Ties go to
 the smaller id. Null vectors and ones with null or non-finite components take no part, nor do null ids;
 a component of more than ``HUGE`` once scaled counts as infinite. Vectors meet only those of their own length. All
-copies of a row are candidates, but rows of the query's own id are not. Fewer than k candidates: all of them.
+copies of a row are candidates, but rows of the query's own id are not. Of rows of one id that differ, the shortest
+vector (then the least in the order of its bytes) asks. Fewer than k candidates: all of them.
 """
 
 from __future__ import annotations
@@ -396,7 +397,8 @@ def search(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def asked(df: DataFrame, vector: str, key: str, every: int, scale: int) -> tuple[DataFrame, DataFrame]:
     points = written(quantised(df, vector, key, scale), "points")
-    return points, points.where(F.pmod(F.col("id"), F.lit(every)) == 0).dropDuplicates(["id"])
+    asks = points.where(F.pmod(F.col("id"), F.lit(every)) == 0)
+    return points, asks.groupBy("id").agg(F.min(F.struct("dim", "q", "norm")).alias("x")).select("id", "x.*")
 
 
 def top_k(df: DataFrame, vector: str = "embedding", key: str = "vec_id", every: int = 20, k: int = 20, scale: int = 64) -> DataFrame:

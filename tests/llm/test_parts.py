@@ -55,3 +55,9 @@ def test_huge_numbers(spark, monkeypatch):
     got = sorted(map(tuple, mtree.top_k(frame(spark, x), every=1, k=3, scale=64).collect()))
     keep = [i for i, v in enumerate(x) if max(map(abs, v)) * 64 <= mtree.HUGE]
     assert len(keep) == 6 and got == brute(keep, [x[i] for i in keep], 3, 1, 64)
+
+
+def test_of_rows_of_one_id_the_same_asks(spark):
+    rows = [(0, [1.0, 2.0]), (0, [2.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 3.0])]
+    got = {tuple(sorted(map(tuple, mtree.top_k(spark.createDataFrame(r, "vec_id long, embedding array<double>").repartition(n)).collect()))) for r in (rows, rows[::-1]) for n in (1, 3)}
+    assert len(got) == 1 and len(got.pop()) == 2
