@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -16,7 +18,7 @@ from pyspark.sql import types as T
 #: Rows up to which a table is broadcast; above it, every caller shuffles.
 BROADCAST_ROWS = 200_000
 #: Rows of an Arrow batch.
-BATCH = 2000
+BATCH = 1000
 
 
 def col(name: str):
@@ -98,6 +100,29 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH))
 
 
+def tidy() -> None:
+    """Give memory that a worker's task no longer needs back to the system: workers stay for the tasks to come."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def tidied(run):
+    """The task function, giving memory back before and after each task."""
+
+    def task(batches):
+        tidy()
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return task
+
+
 def arrow_map(df: DataFrame, inputs: list[str], outputs: str | T.StructType, factory, keep: list[str] | None = None, budget: int = 2_000_000) -> DataFrame:
     """Add columns that ``factory()(*input arrays) -> list of arrays`` makes, batch by batch, with no shuffle.
 
@@ -121,7 +146,7 @@ def arrow_map(df: DataFrame, inputs: list[str], outputs: str | T.StructType, fac
                 made = work(*[part.column(i) for i in at])
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(count)] + list(made), names=titles)
 
-    return df.select(*[col(c) for c in picked]).mapInArrow(run, schema)
+    return df.select(*[col(c) for c in picked]).mapInArrow(tidied(run), schema)
 
 
 def join_small(left: DataFrame, right: DataFrame, on: str, how: str = "left", salts: int = 32) -> DataFrame:

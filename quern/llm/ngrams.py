@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow_map, col, discard, slices, written
+from .common import BROADCAST_ROWS, arrow_map, col, discard, slices, tidied, written
 from .graph import components
 from .sharding import numbered
 
@@ -52,7 +52,7 @@ SPAN = 1 << 19
 STRETCH = 800_000
 #: Frequent shingles set aside (8 bytes each are broadcast), and shingles of a stretch in which they are counted.
 FREQUENT = 1 << 17
-COUNTED = 3_000_000
+COUNTED = 1_500_000
 #: Texts and shingles up to which a cluster is searched in one task.
 ROWS = 128
 UNIT = 1_000_000
@@ -180,7 +180,7 @@ def frequent(docs: DataFrame, k: int, least: int = 3) -> np.ndarray:
         if size:
             yield flush()
 
-    found = docs.select("t").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    found = docs.select("t").mapInArrow(tidied(run), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     rows = found.orderBy(F.desc("n"), "s").limit(FREQUENT).select("s").toArrow()
     return np.sort(rows.column("s").to_numpy().astype(np.int64).view(np.uint64))
 
@@ -304,9 +304,9 @@ def candidates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 x, y = forest(ids[more], heads[more])
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    rows = docs.where("id IS NOT NULL AND t IS NOT NULL").select("id", "t").mapInArrow(local, "s long, a long, b long")
+    rows = docs.where("id IS NOT NULL AND t IS NOT NULL").select("id", "t").mapInArrow(tidied(local), "s long, a long, b long")
     key = F.coalesce("s", "a")
-    return rows.repartition(key).sortWithinPartitions("s", "a").mapInArrow(across, "a long, b long")
+    return rows.repartition(key).sortWithinPartitions("s", "a").mapInArrow(tidied(across), "a long, b long")
 
 
 def merge(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -457,7 +457,7 @@ def searched(texts: DataFrame, k: int, num: int, den: int, hosted: bool = False)
         if len(rows) > 1:
             yield done()
 
-    return texts.select("id", "t", "component", "i", "j", "guest", "known").mapInArrow(run, "a long, b long")
+    return texts.select("id", "t", "component", "i", "j", "guest", "known").mapInArrow(tidied(run), "a long, b long")
 
 
 def every(n) -> Column:

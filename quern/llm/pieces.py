@@ -30,7 +30,7 @@ from .common import arrow_map
 
 MARK = "▁"
 #: Words of each of the two generations that a worker keeps.
-CACHE = 120_000
+CACHE = 60_000
 #: Longest word that is kept.
 SHORT = 40
 UNKNOWN = 10.0
