@@ -372,43 +372,55 @@ def column(root: Node, env: dict[str, Column]) -> Column:
 
 
 def tensor(root: Node, env: dict[str, Tensor]) -> Tensor:
-    """A lazy plan over coordinate tensors."""
+    """A lazy plan over coordinate tensors.
+
+    Numbers stay numbers and what a graph broadcasts stays narrow, as element-wise steps broadcast by themselves;
+    only where a step needs every coordinate is a value stretched to its node's shape.
+    """
     spark = next(iter(env.values())).df.sparkSession
 
+    def full(x, shape: tuple[int, ...]) -> Tensor:
+        shape = shape or (1,)
+        return x.broadcast(shape) if isinstance(x, Tensor) and x.shape != shape else x if isinstance(x, Tensor) else Tensor.constant(spark, shape, x)
+
     def step(n: Node, a: list):
+        whole = lambda k=0: full(a[k], n.args[k].shape)
         if n.op == "const":
             return float(n.data) if not n.shape else Tensor.load(spark, n.shape, np.asarray(n.data, float).ravel().tolist(), "f64")
+        if n.op == "broadcast" or n.op == "reshape" and not isinstance(a[0], Tensor):
+            return a[0]
         if n.op in ("sum", "max", "min", "product"):
-            out = getattr(a[0], n.op)(n.data[0], n.data[1])
+            if not isinstance(a[0], Tensor):
+                count = S.size(tuple(n.args[0].shape[i] for i in n.data[0]))
+                return a[0] * count if n.op == "sum" else float(np.power(a[0], count)) if n.op == "product" else a[0]
+            out = getattr(whole(), n.op)(n.data[0], n.data[1])
             return out if isinstance(out, Tensor) else Tensor(out.select(F.lit(0).cast("long").alias("x0"), "v"), a[0].schema.__class__("f64", (1,)))
         if n.op == "transpose":
-            return a[0].transpose(n.data)
-        if n.op in ("reshape", "broadcast"):
-            shape = n.shape or (1,)
-            x = a[0] if isinstance(a[0], Tensor) else Tensor.constant(spark, (1,), a[0])
-            return x.reshape(shape) if n.op == "reshape" else x.broadcast(shape)
+            return whole().transpose(n.data)
+        if n.op == "reshape":
+            return whole().reshape(n.shape or (1,))
         if n.op == "cond":
-            return a[0].cond(a[1], a[2])
-        if n.op == "positive":
-            return a[0].with_number("gt", 0)
+            if isinstance(a[0], Tensor):
+                return a[0].cond(a[1], a[2])
+            return a[1] if a[0] else a[2]
         if n.op == "cast":
-            return a[0].cast(n.data)
+            return whole().cast(n.data)
         if n.op == "slice":
-            return a[0].slice(n.data)
+            return whole().slice(n.data)
         if n.op == "place":
             zeros = Tensor.zeros(spark, n.shape)
-            return zeros.write(n.data, a[0])
+            return zeros.write(n.data, a[0] if not isinstance(a[0], Tensor) else whole())
         if n.op == "concatenate":
-            return Tensor.concatenate([x if isinstance(x, Tensor) else Tensor.constant(spark, p.shape, x) for x, p in zip(a, n.args)], n.data)
+            return Tensor.concatenate([full(x, p.shape) for x, p in zip(a, n.args)], n.data)
         if n.op == "matmul":
-            return a[0].matmul(a[1])
+            return whole(0).matmul(whole(1))
+        if not any(isinstance(x, Tensor) for x in a):
+            return float(_NUMPY[n.op](*a))
+        if n.op == "positive":
+            return a[0].with_number("gt", 0)
         if len(a) == 1:
             return a[0].unary(n.op)
         x, y = a
-        if not isinstance(x, Tensor):
-            if not isinstance(y, Tensor):
-                return float(_NUMPY[n.op](x, y))
-            x = Tensor.constant(spark, (1,), x)
-        return x.binary(n.op, y)
+        return x.binary(n.op, y) if isinstance(x, Tensor) else y.of_number(n.op, x)
 
-    return _run(root, env, step)
+    return full(_run(root, env, step), root.shape)
