@@ -42,3 +42,11 @@ def test_few_rows_are_stretched_by_all_tasks(spark):
     assert wide.df.distinct().count() == 3 * (STRETCH + 5) and wide.df.agg({"x0": "max", "v": "sum"}).first()["max(x0)"] == STRETCH + 4
     many = Tensor.arange(spark, (STRETCH + 1, 1), 0, STRETCH + 1).broadcast((STRETCH + 1, 2))
     assert many.df.distinct().count() == 2 * (STRETCH + 1)
+
+
+def test_gradient_of_squares_is_a_projection(spark):
+    x = ad.var("x", A.shape)
+    made = ad.tensor(ad.gradients((x**2.0).sum(), ["x"])["x"], {"x": dense(spark, A)})
+    assert "Join" not in plan(made) and "Generate" not in plan(made)
+    assert np.allclose(made.to_numpy(), 2 * A)
+    assert np.allclose(ad.tensor(ad.gradients(x.sum(), ["x"])["x"], {"x": dense(spark, A)}).to_numpy(), np.ones(A.shape))
