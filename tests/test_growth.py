@@ -50,3 +50,17 @@ def test_gradient_of_squares_is_a_projection(spark):
     assert "Join" not in plan(made) and "Generate" not in plan(made)
     assert np.allclose(made.to_numpy(), 2 * A)
     assert np.allclose(ad.tensor(ad.gradients(x.sum(), ["x"])["x"], {"x": dense(spark, A)}).to_numpy(), np.ones(A.shape))
+
+
+def test_zeros_are_filled_in_where_the_cells_are(spark):
+    from quern.operators.tensor import GAP
+
+    cells = {(0, 0, 0): 1.0, (0, 1, 3): -2.0, (1, 0, GAP - 1): 3.0, (1, 1, 2): 4.0, (1, 1, GAP): 5.0}
+    t = Tensor.load(spark, (2, 2, GAP + 1), list(cells.items()), "f64").to_dense()
+    text = plan(t)
+    assert "Join" not in text and "Range (0, 5," in text  # a row for each block is dealt out, not one for each cell
+    assert t.df.distinct().count() == t.df.count() == t.size
+    assert {tuple(r)[:3]: r["v"] for r in t.df.where("v <> 0").collect()} == cells
+    assert t.df.where("x0 < 0 OR x0 > 1 OR x1 < 0 OR x1 > 1 OR x2 < 0").count() == 0
+    assert np.array_equal(Tensor.zeros(spark, (2, 3), sparse=True).to_dense().to_numpy(), np.zeros((2, 3)))
+    assert np.array_equal(Tensor.load(spark, (2, 2), [((0, 1), 1 + 2j)]).to_dense().to_numpy(), [[0, 1 + 2j], [0, 0]])
