@@ -64,3 +64,23 @@ def test_zeros_are_filled_in_where_the_cells_are(spark):
     assert t.df.where("x0 < 0 OR x0 > 1 OR x1 < 0 OR x1 > 1 OR x2 < 0").count() == 0
     assert np.array_equal(Tensor.zeros(spark, (2, 3), sparse=True).to_dense().to_numpy(), np.zeros((2, 3)))
     assert np.array_equal(Tensor.load(spark, (2, 2), [((0, 1), 1 + 2j)]).to_dense().to_numpy(), [[0, 1 + 2j], [0, 0]])
+
+
+def test_sparse_products_are_added_up_in_tiles(spark, monkeypatch):
+    from quern.operators import block
+
+    rng = np.random.default_rng(5)
+    a = np.where(rng.random((90, 70)) < 0.2, rng.integers(-3, 4, (90, 70)), 0).astype(float)
+    b = np.where(rng.random((70, 50)) < 0.2, rng.integers(-3, 4, (70, 50)), 0).astype(float)
+    a[7], b[:, 11], a[20:30], b[5] = 2.0, -1.0, 0, 0
+    sparse = lambda m: Tensor.load(spark, m.shape, [((int(i), int(j)), float(m[i, j])) for i, j in zip(*m.nonzero())], "f64")
+    monkeypatch.setattr(block, "JOINED", 100)
+    monkeypatch.setattr("quern.operators.tensor.JOINED", 100)
+    for band, held in ((60, 1), (200, 40), (10_000, 1 << 20)):
+        monkeypatch.setattr(block, "BAND", band)
+        monkeypatch.setattr(block, "PRODUCTS", held)
+        got = sparse(a) @ sparse(b)
+        assert "Join" in plan(got) and "MapInArrow" in plan(got) and "Aggregate [i" not in plan(got)  # products aren't dealt out
+        rows = got.df.collect()
+        assert len(rows) == len({(r.x0, r.x1) for r in rows}) == np.count_nonzero(a @ b)
+        assert np.array_equal(got.to_numpy(), a @ b)
