@@ -1,4 +1,4 @@
-"""Matrix decompositions: numpy for one matrix, a task for each matrix of a batch."""
+"""Matrix decompositions: numpy for one matrix, tasks that take a batch's matrices in stacks."""
 
 from __future__ import annotations
 
@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
+from ..operators import shape as S
 from ..operators.tensor import Tensor, xs
 from ..schema import TensorSchema
 from ..sources.storage import written
 
+#: Cells of a stack of matrices that numpy takes at once.
+STACK = 1 << 18
+
 
 def householder(x: np.ndarray) -> tuple[np.ndarray, float]:
     """(v, tau) with v[0] = 1 and (I - tau v v^T) x along the first axis."""
@@ -97,35 +101,78 @@ def svd(a: np.ndarray, rank: int | None = None, epsilon: float = 1e-12, max_iter
     return u[:, :k], s[:k], v.T[:k]
 
 
-def cells(t: Tensor, spark_keys: list[str]):
-    """A row for each matrix of the last two axes: its keys and its cells (row, column, value), combined map-side."""
-    lead = t.ndim - 2
-    cell = F.struct(F.col(f"x{lead}").cast("int").alias("r"), F.col(f"x{lead + 1}").cast("int").alias("c"), F.col("v").cast("double").alias("v"))
-    df = t.df if lead else t.df.withColumn("__one", F.lit(0).cast("long"))
-    return df.groupBy(*spark_keys).agg(F.collect_list(cell).alias("cells"))
+def svds(a: np.ndarray, k: int, vectors: bool = True) -> tuple[np.ndarray, ...]:
+    """(u, s, v) or (s,) of each matrix of a stack, with vectors of zero for values that vanish, as in ``svd``; NaN where a cell isn't finite."""
+    n, m = a.shape[1:]
+    bad = ~np.isfinite(a).all((1, 2))
+    found = np.linalg.svd(np.where(bad[:, None, None], 0.0, a), full_matrices=False, compute_uv=vectors)
+    if not vectors:
+        found[bad] = np.nan
+        return (found[:, :k],)
+    u, s, v = found
+    good = (s > s[:, :1] * 1e-12).astype(float)
+    u, v = (u * good[:, None, :], v) if n >= m else (u, v * good[:, :, None])
+    for x in (u, s, v):
+        x[bad] = np.nan
+    return u[:, :, :k], s[:, :k], v[:, :k]
+
+
+def each(fn: Callable[[np.ndarray], tuple]) -> Callable[[np.ndarray], tuple]:
+    """A function of one matrix for a stack of them."""
+    return lambda stack: tuple(np.stack([np.asarray(x, float) for x in made]) for made in zip(*map(fn, stack)))
 
 
 def batched(t: Tensor, fn: Callable[[np.ndarray], tuple], *shapes: tuple[int, ...]) -> tuple[Tensor, ...]:
-    """Apply ``fn`` to each matrix in the last two axes; it gives an array for each of ``shapes``.
+    """Apply ``fn`` to the matrices in the last two axes, a stack at a time; it gives an array for each of ``shapes``, stacked.
 
     All come from one pass: a row for each matrix holds them, written if there are several. A matrix must fit one task.
+    Its cells are dealt out and sorted as plain rows, so that stacks are read off without a list for each matrix.
     """
     lead, (n, m) = t.ndim - 2, t.shape[-2:]
     t = t.to_dense()
     keys = xs(lead) or ["__one"]
+    which = F.lit(0).cast("long")
+    steps = S.strides(t.shape[:-2])
+    for c, step in zip(xs(lead), steps):
+        which = which + F.col(c) * step
+    most = max(1, STACK // (n * m))
 
     def run(batches):
-        for batch in batches:
-            made: list[list] = [[] for _ in shapes]
-            for row in batch.column(len(keys)):
-                flat, a = row.values, np.zeros((n, m))
-                a[flat.field("r").to_numpy(), flat.field("c").to_numpy()] = flat.field("v").to_numpy()
-                for out, x in zip(made, fn(a)):
-                    out.append(np.asarray(x, float).ravel())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *[pa.array(x, pa.list_(pa.float64())) for x in made]], names=[*keys, *[f"f{k}" for k in range(len(shapes))]])
+        held: list[list] = []
+
+        def made():
+            ids, at, v = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            own, rank = np.unique(ids, return_inverse=True)
+            stack = np.zeros((len(own), n * m))
+            stack[rank, at] = v
+            for x in range(0, len(own), most):
+                part = own[x : x + most]
+                arrays = [pa.array(part // step % dim) for step, dim in zip(steps, t_lead)] or [pa.array(part)]
+                for f in fn(stack[x : x + most].reshape(-1, n, m)):
+                    flat = np.ascontiguousarray(f, float).reshape(len(part), -1)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel())))
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *[f"f{k}" for k in range(len(shapes))]])
 
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, at, v = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            last = int(np.searchsorted(ids, ids[-1])) if ids[0] != ids[-1] or held and held[-1][0][-1] != ids[0] else 0
+            if last or held and held[-1][0][-1] != ids[0]:
+                if last:
+                    held.append([x[:last].copy() for x in (ids, at, v)])
+                yield from made()
+            held.append([x[last:].copy() for x in (ids, at, v)])  # the last matrix may go on in the next batch
+        if held:
+            yield from made()
+
+    t_lead = t.shape[:-2]
+    spark = t.df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) if lead else 1
+    dealt = t.df.select(which.alias("id"), (F.col(f"x{lead}") * m + F.col(f"x{lead + 1}")).cast("int").alias("at"), F.col("v").cast("double").alias("v")).repartition(parts, "id").sortWithinPartitions("id")
     schema = ", ".join([f"{k} long" for k in keys] + [f"f{k} array<double>" for k in range(len(shapes))])
-    out = cells(t, keys).mapInArrow(run, schema)
+    out = dealt.mapInArrow(run, schema)
     out = written(out, "factors") if len(shapes) > 1 else out
     return tuple(_factor(out, xs(lead), f"f{k}", t.shape[:-2], shape) for k, shape in enumerate(shapes))
 
@@ -141,31 +188,38 @@ def _factor(rows: DataFrame, keys: list[str], column: str, lead: tuple[int, ...]
 
 def t_qr(t: Tensor) -> tuple[Tensor, Tensor]:
     n, m = t.shape[-2:]
-    return batched(t, qr, (n, n), (n, m))
+    return batched(t, each(qr), (n, n), (n, m))
 
 
 def t_plu(t: Tensor) -> tuple[Tensor, Tensor, Tensor]:
     n = t.shape[-1]
-    return batched(t, lambda a: plu(a)[:3], (n, n), (n, n), (n, n))
+    return batched(t, each(lambda a: plu(a)[:3]), (n, n), (n, n), (n, n))
 
 
 def t_det(t: Tensor) -> Tensor:
-    return batched(t, lambda a: ([det(a)],), (1,))[0]
+    return batched(t, each(lambda a: ([det(a)],)), (1,))[0]
 
 
 def t_slogdet(t: Tensor) -> Tensor:
     """The last axis holds sign and logarithm."""
-    return batched(t, lambda a: (slogdet(a),), (2,))[0]
+    return batched(t, each(lambda a: (slogdet(a),)), (2,))[0]
 
 
 def t_svd(t: Tensor, rank: int | None = None) -> tuple[Tensor, Tensor, Tensor]:
     n, m = t.shape[-2:]
     k = min(n, m, rank or n)
-    return batched(t, lambda a: svd(a, k), (n, k), (k,), (k, m))
+    return batched(t, lambda a: svds(a, k), (n, k), (k,), (k, m))
+
+
+def t_svd_values(t: Tensor, rank: int | None = None) -> Tensor:
+    """Without the vectors, so nothing is written."""
+    n, m = t.shape[-2:]
+    k = min(n, m, rank or n)
+    return batched(t, lambda a: svds(a, k, False), (k,))[0]
 
 
 def t_householder(t: Tensor) -> tuple[Tensor, Tensor]:
     """(v, tau) of each row of a matrix."""
     n = t.shape[-1]
-    v, tau = batched(t.expand_dims(t.ndim - 1), lambda a: (lambda v, tau: (v, [tau]))(*householder(a[0])), (n,), (1,))
+    v, tau = batched(t.expand_dims(t.ndim - 1), each(lambda a: (lambda v, tau: (v, [tau]))(*householder(a[0]))), (n,), (1,))
     return v, tau

@@ -683,12 +683,12 @@ def _small(s, d) -> Tensor:
 _SMALL_SQL = E_SQL + ", m AS (SELECT x0, x1 // 4 AS x1, max(v) FILTER (x1 % 4 = 0) AS a, max(v) FILTER (x1 % 4 = 1) AS b, max(v) FILTER (x1 % 4 = 2) AS c, max(v) FILTER (x1 % 4 = 3) AS d FROM e GROUP BY 1, 2), f AS (SELECT x0, x1, a * d - b * c AS det, a * a + b * b + c * c + d * d AS s FROM m) "
 query("linalg_det", _SMALL_SQL + "SELECT x0, x1, CAST(0 AS BIGINT) AS x2, round(det, 5) + 0.0 AS v FROM f")(lambda s, d: out(linalg.t_det(_small(s, d)), 5))
 query("linalg_slogdet", _SMALL_SQL + "SELECT x0, x1, CAST(0 AS BIGINT) AS x2, CAST(sign(det) AS DOUBLE) AS v FROM f UNION ALL SELECT x0, x1, 1, round(ln(abs(det)), 3) + 0.0 FROM f WHERE det <> 0 UNION ALL SELECT x0, x1, 1, CAST('-inf' AS DOUBLE) FROM f WHERE det = 0")(lambda s, d: out(linalg.t_slogdet(_small(s, d)), 3))
-query("linalg_svd_values", _SMALL_SQL + "SELECT x0, x1, CAST(k AS BIGINT) AS x2, round(sqrt(greatest((s + (1 - 2 * k) * sqrt(greatest(s * s - 4 * det * det, 0))) / 2, 0)), 4) + 0.0 AS v FROM f, range(2) t(k)")(lambda s, d: out(linalg.t_svd(_small(s, d))[1], 4))
+query("linalg_svd_values", _SMALL_SQL + "SELECT x0, x1, CAST(k AS BIGINT) AS x2, round(sqrt(greatest((s + (1 - 2 * k) * sqrt(greatest(s * s - 4 * det * det, 0))) / 2, 0)), 4) + 0.0 AS v FROM f, range(2) t(k)")(lambda s, d: out(linalg.t_svd_values(_small(s, d)), 4))
 query("linalg_svd_reconstruct", E_SQL + "SELECT x0, x1 // 8 AS x1, x1 % 8 AS x2, round(v, 3) + 0.0 AS v FROM e")(lambda s, d: (lambda u, w, v: out((u * w.expand_dims(1)) @ v, 3))(*linalg.t_svd(_matrices(s, d))))
 # of 8 x 8 matrices, beyond SQL; tests/test_whole.py has them by numpy
 query("linalg_det_large")(lambda s, d: linalg.t_det(_matrices(s, d)).df)
 query("linalg_slogdet_large")(lambda s, d: linalg.t_slogdet(_matrices(s, d)).df)
-query("linalg_svd_values_large")(lambda s, d: linalg.t_svd(_matrices(s, d))[1].df)
+query("linalg_svd_values_large")(lambda s, d: linalg.t_svd_values(_matrices(s, d)).df)
 query("linalg_householder", E_SQL + "SELECT x0, round(sqrt(sum(v * v)), 4) + 0.0 AS v FROM e GROUP BY x0")(
     # the reflection of a row has its norm in the first component and nothing else: |x - tau (v.x) v|
     lambda s, d: (lambda e: (lambda v, tau: out((e - v * ((e * v).sum(1, True) * tau)).norm(1), 4))(*linalg.t_householder(e)))(matrix(s, d))
