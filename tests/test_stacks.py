@@ -30,3 +30,13 @@ def test_values_write_no_factors_and_make_no_lists(spark, monkeypatch):
     got = linalg.t_svd_values(Tensor.load(spark, a.shape, a.ravel().tolist()))
     assert "collect_list" not in got.df._jdf.queryExecution().optimizedPlan().toString()
     assert got.shape == (70, 3, 2) and np.allclose(got.to_numpy(), np.linalg.svd(a, compute_uv=False))
+
+
+def test_registered_values_take_stacks(spark, monkeypatch):
+    from quern import queries
+
+    monkeypatch.setattr(linalg, "svd", None)  # no matrix is taken alone
+    monkeypatch.setattr(linalg, "written", lambda *a: (_ for _ in ()).throw(AssertionError("written")))
+    for name in ("linalg_svd_values", "linalg_svd_values_large"):
+        df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString() and df.count() > 0
