@@ -3,8 +3,10 @@
 A text is marked as SentencePiece does (a space becomes the mark U+2581, one mark is put before), and cut into
 marked words: a run of marks and what follows it. No piece of the vocabulary reaches over such a cut (checked when
 the model is read; else whole texts are words), so the best segmentation of a text is that of its words. The
-distinct words of a batch that were not met before are sorted, which makes them a trie in depth-first order; the
-forward scores of a prefix common to a word and the next are kept and only the rest is computed.
+distinct words of a batch that were not met before are sorted, which makes them a trie: a prefix common to a word
+and those before it has its forward score computed once. Short words take numpy, a level of that trie at a time: the
+pieces that end at each prefix come from a trie of the reversed pieces in a hash table, and all prefixes of a length
+get their scores from those of the shorter ones. Words longer than ``SHORT`` go depth-first, a character at a time.
 
 The score of a segmentation is the sum of its pieces' scores in the model file; of equal scores the longer last
 piece wins. A character that no piece covers costs ten less than the least score, and is emitted as the
@@ -21,6 +23,7 @@ from __future__ import annotations
 import re
 from array import array
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,10 @@ from .common import arrow_map
 MARK = "▁"
 #: Words of each of the two generations that a worker keeps.
 CACHE = 60_000
-#: Longest word that is kept.
+#: Longest word that is kept, and that takes numpy.
 SHORT = 40
+#: Words that numpy takes at once.
+STACK = 16_384
 UNKNOWN = 10.0
 
 
@@ -70,8 +75,123 @@ class Vocabulary:
         self.words = re.compile(r"(?s).+" if whole else f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
         self.spoken = [b"" if k in "C-" else bytes([int(p[3:5], 16)]) if k == "B" else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds)]
         self.literal = array("i", [self.bytes[b] for b in MARK.encode()]).tobytes()
+        self._reversed()
+
+    def _reversed(self) -> None:
+        """The trie of the reversed pieces: a hash table from (state, character) to the next state, and each state's piece."""
+        step: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        for p, i in self.ids.items():
+            at = 0
+            for c in reversed(p):
+                at = step.setdefault(at << 21 | ord(c), len(step) + 1)
+            ends[at] = i
+        self.piece = np.full(len(step) + 1, -1, np.int32)
+        self.piece[list(ends)] = list(ends.values())
+        self.cost = np.array([self.scores[i] if i >= 0 else self.unknown for i in self.piece])
+        self.shift = np.uint64(64 - max(8, (8 * len(step)).bit_length()))
+        keys, states = np.fromiter(step, np.int64, len(step)), np.fromiter(step.values(), np.int32, len(step))
+        self.keys = np.full((1 << 64 - int(self.shift)) + len(step), -1, np.int64)
+        self.next = np.zeros(len(self.keys), np.int32)
+        slots = self._slots(keys)
+        while len(keys):  # of the keys that want a free slot one gets it, the others look at the next
+            free = np.flatnonzero(self.keys[slots] < 0)
+            own, first = np.unique(slots[free], return_index=True)
+            self.keys[own], self.next[own] = keys[free[first]], states[free[first]]
+            left = self.keys[slots] != keys
+            keys, states, slots = keys[left], states[left], slots[left] + 1
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def _follow(self, states: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The state after each character, 0 where no piece goes on."""
+        keys = states.astype(np.int64) << 21 | chars
+        slots = self._slots(keys)
+        found = self.keys[slots]
+        out = np.where(found == keys, self.next[slots], 0)
+        more = np.flatnonzero((found != keys) & (found >= 0))
+        while len(more):
+            at = slots[more] + 1
+            slots[more], found = at, self.keys[at]
+            hit = found == keys[more]
+            out[more[hit]] = self.next[at[hit]]
+            more = more[~hit & (found >= 0)]
+        return out
 
     def segment(self, words: list[str], into: dict[str, bytes]) -> None:
+        """The ids of sorted, distinct words."""
+        long = [w for w in words if len(w) > SHORT]
+        short = [w for w in words if len(w) <= SHORT] if long else words
+        for k in range(0, len(short), STACK):
+            self._by_level(short[k : k + STACK], into)
+        if long:
+            self._by_depth(long, into)
+
+    def _by_level(self, words: list[str], into: dict[str, bytes]) -> None:
+        """Breadth-first over the trie that the words make: all prefixes of a length at once."""
+        n = len(words)
+        size = np.fromiter(map(len, words), np.int64, n)
+        width = int(size.max())
+        chars = np.ascontiguousarray(np.array(words, f"<U{width}").view(np.uint32).reshape(n, width).T)
+        inside = np.arange(width)[:, None] < size
+        # a prefix is new if it isn't one of the word before
+        new = inside.copy()
+        new[:, 1:] &= ~np.logical_and.accumulate((chars[:, 1:] == chars[:, :-1]) & inside[:, :-1])
+        flat, codes = np.flatnonzero(new), chars.ravel().astype(np.int64)
+        # pieces that end at each new prefix: its place in ``flat``, their length, their state; one character always does
+        here, at, states = np.arange(len(flat)), flat, np.zeros(len(flat), np.int32)
+        nodes, lengths, found = [], [], []
+        for length in range(1, width + 1):
+            states = self._follow(states, codes[at])
+            hit = np.flatnonzero(self.piece[states] >= 0) if length > 1 else slice(None)
+            nodes.append(here[hit])
+            found.append(states[hit])
+            lengths.append(np.full(len(found[-1]), length, np.int64))
+            on = np.flatnonzero((states > 0) & (at >= n))
+            if not len(on):
+                break
+            here, at, states = here[on], at[on] - n, states[on]
+        nodes, lengths, found = np.concatenate(nodes), np.concatenate(lengths), np.concatenate(found)
+        order = np.argsort(nodes, kind="stable")  # of one prefix the shorter pieces first
+        nodes, lengths, found = nodes[order], lengths[order], found[order]
+        starts = np.searchsorted(nodes, np.arange(len(flat)))
+        before, costs = flat[nodes] + n - lengths * n, self.cost[found]
+        levels = np.searchsorted(flat, np.arange(width + 1) * n).tolist()
+        heads = [*starts.tolist(), len(nodes)]
+        # forward scores of the prefixes of each word, the empty one first; the candidate that each takes
+        forward, taken = np.zeros((width + 1) * n), np.zeros(width * n, np.int64)
+        for d in range(width):
+            a, b = levels[d], levels[d + 1]
+            x, y = heads[a], heads[b]
+            scores = forward[before[x:y]] + costs[x:y]
+            first = starts[a:b] - x
+            best = np.maximum.reduceat(scores, first)
+            top = np.flatnonzero(scores == np.repeat(best, np.diff(np.append(first, y - x))))
+            last = top[np.append(np.flatnonzero(np.diff(nodes[x:y][top])), len(top) - 1)]  # of equal scores the longer piece
+            rows = np.flatnonzero(inside[d])
+            owner = np.cumsum(new[d][rows]) - 1
+            forward[(d + 1) * n + rows], taken[d * n + rows] = best[owner], (x + last)[owner]
+        # back from the ends of the words, a piece of each at a time
+        words_of, back = np.flatnonzero(size), []
+        end = (size[words_of] - 1) * n + words_of
+        while len(words_of):
+            c = taken[end]
+            back.append((words_of, self.piece[found[c]], codes[end]))
+            end = end - lengths[c] * n
+            words_of, end = words_of[end >= 0], end[end >= 0]
+        owners, ids, last = (np.concatenate([x[k] for x in reversed(back)]) for k in range(3))
+        order = np.argsort(owners, kind="stable")
+        owners, ids = owners[order], ids[order]
+        if (ids < 0).any():  # a character that no piece covers is spelt in bytes
+            spelt = [chr(c).encode() if i < 0 else b"" for i, c in zip(ids.tolist(), last[order].tolist())]
+            times = np.array([len(s) or 1 for s in spelt])
+            ids, owners = np.repeat(ids, times), np.repeat(owners, times)
+            ids[ids < 0] = [self.bytes[b] for s in spelt for b in s]
+        raw, cuts = ids.astype(np.int32).tobytes(), (4 * np.searchsorted(owners, np.arange(n + 1))).tolist()
+        into.update(zip(words, [raw[i:j] for i, j in zip(cuts, cuts[1:])]))
+
+    def _by_depth(self, words: list[str], into: dict[str, bytes]) -> None:
         """Depth-first over the trie that the sorted, distinct words make."""
         score, ends, single, unknown, ids = self.score.get, self.ends.get, self.single.get, self.unknown, self.ids.get
         forward, came, last = [0.0], [0], ""
@@ -122,18 +242,18 @@ class Vocabulary:
             parts = [p.replace(" ", MARK) for p in parts]
             parts[0] = MARK + parts[0] if text else ""
             split.append([find(p) for p in parts])
-        fresh = {w for parts in split for words in parts for w in words}
+        fresh = set().union(*chain.from_iterable(split))
         fresh.difference_update(cache)
         if older:
             again = fresh & older.keys()
             cache.update((w, older[w]) for w in again)
             fresh -= again
-        once: dict[str, bytes] = {}
-        self.segment(sorted(fresh), once)
-        cache.update(x for x in once.items() if len(x[0]) <= SHORT)
-        long = {w: b for w, b in once.items() if len(w) > SHORT}
-        get = cache.__getitem__ if not long else lambda w: cache[w] if len(w) <= SHORT else long[w]
-        return [self.literal.join([b"".join(map(get, words)) for words in parts]) for parts in split]
+        self.segment(sorted(fresh), cache)
+        get = cache.__getitem__
+        out = [self.literal.join([b"".join(map(get, words)) for words in parts]) for parts in split]
+        for w in [w for w in fresh if len(w) > SHORT]:  # these are not kept
+            del cache[w]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         spoken, n = self.spoken, len(self.spoken)
