@@ -10,7 +10,7 @@ reductions are aggregations with map-side partials. ``matmul`` and ``einsum`` jo
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
@@ -72,6 +72,8 @@ class Tensor:
     df: DataFrame
     schema: TensorSchema
     sparse: bool = False
+    #: Rows (x0, array of doubles) that hold the same cells, where these were read off arrays and not changed since.
+    arrays: DataFrame | None = None
 
     # -- constructors
 
@@ -183,7 +185,9 @@ class Tensor:
     def from_arrays(df: DataFrame, row: str, array: str, shape: S.Shape, dtype: str = "f64") -> Tensor:
         """A dense matrix from a table of (row number, array)."""
         out = df.select(F.col(row).cast("long").alias("x0"), F.posexplode(array).alias("p", "e"))
-        return Tensor(out.select("x0", F.col("p").cast("long").alias("x1"), F.col("e").cast(spark_type(dtype)).alias("v")), TensorSchema(dtype, tuple(shape)))
+        kind = spark_type(dtype)
+        arrays = None if dtype[0] == "c" else df.select(F.col(row).cast("long").alias("x0"), F.col(array).cast(T.ArrayType(kind)).cast("array<double>").alias("a"))
+        return Tensor(out.select("x0", F.col("p").cast("long").alias("x1"), F.col("e").cast(kind).alias("v")), TensorSchema(dtype, tuple(shape)), arrays=arrays)
 
     # -- introspection
 
@@ -588,7 +592,8 @@ class Tensor:
             raise QueryError(f"invalid axes {axes}")
         where = [None if i in axes else next(old) for i in range(n)]
         cols = [(F.lit(0).cast("long") if w is None else F.col(x(w))).alias(x(i)) for i, w in enumerate(where)]
-        return self._like(self.df.select(*cols, "v"), shape=tuple(1 if w is None else self.shape[w] for w in where))
+        out = self._like(self.df.select(*cols, "v"), shape=tuple(1 if w is None else self.shape[w] for w in where))
+        return out if 0 in axes else replace(out, arrays=self.arrays)
 
     def reshape(self, shape) -> Tensor:
         shape = S.reshape(self.shape, shape)
@@ -597,7 +602,8 @@ class Tensor:
             offset = offset + F.col(x(i)) * step
         df = self.df.select(offset.alias("o"), "v")
         cols = [F.expr(f"(o DIV {step}) % {dim}").alias(x(i)) for i, (dim, step) in enumerate(zip(shape, S.strides(shape)))]
-        return self._like(df.select(*cols, "v"), shape=shape)
+        out = self._like(df.select(*cols, "v"), shape=shape)
+        return replace(out, arrays=self.arrays) if shape[0] == self.shape[0] else out
 
     def transpose(self, perm=None) -> Tensor:
         perm = S.permutation(perm, self.ndim)

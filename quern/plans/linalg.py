@@ -126,7 +126,8 @@ def batched(t: Tensor, fn: Callable[[np.ndarray], tuple], *shapes: tuple[int, ..
     """Apply ``fn`` to the matrices in the last two axes, a stack at a time; it gives an array for each of ``shapes``, stacked.
 
     All come from one pass: a row for each matrix holds them, written if there are several. A matrix must fit one task.
-    Its cells are dealt out and sorted as plain rows, so that stacks are read off without a list for each matrix.
+    Matrices whose cells were read off arrays are taken from these, where they are (``Tensor.arrays``). Of others the
+    cells are dealt out and sorted as plain rows, so that stacks are read off without a list for each matrix.
     """
     lead, (n, m) = t.ndim - 2, t.shape[-2:]
     t = t.to_dense()
@@ -136,6 +137,34 @@ def batched(t: Tensor, fn: Callable[[np.ndarray], tuple], *shapes: tuple[int, ..
     for c, step in zip(xs(lead), steps):
         which = which + F.col(c) * step
     most = max(1, STACK // (n * m))
+    t_lead = t.shape[:-2]
+    per = S.size(t_lead[1:])
+    cells = per * n * m
+
+    def results(own, stack):
+        for x in range(0, len(own), most):
+            part = own[x : x + most]
+            at = [part // step for step in steps]
+            arrays = [pa.array(i % dim if k else i) for k, (i, dim) in enumerate(zip(at, t_lead))] or [pa.array(part)]
+            for f in fn(stack[x : x + most].reshape(-1, n, m)):
+                flat = np.ascontiguousarray(f, float).reshape(len(part), -1)
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel())))
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *[f"f{k}" for k in range(len(shapes))]])
+
+    def unpacked(batches):
+        for batch in batches:
+            rows, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            stack = lists.flatten().to_numpy(zero_copy_only=False)
+            ids = (rows[:, None] * per + np.arange(per)).ravel()
+            if (counts > cells).any():
+                raise QueryError(f"an array has more than {cells} elements")
+            if (counts < cells).any():  # what an array lacks is zero, as cells that are not there; a matrix without any is none
+                filled = np.zeros((len(rows), cells))
+                filled[np.arange(cells) < counts[:, None]] = stack
+                some = (np.arange(per) * n * m < counts[:, None]).ravel()
+                ids, stack = ids[some], filled.reshape(-1, n * m)[some]
+            yield from results(ids, stack.reshape(-1, n * m))
 
     def run(batches):
         held: list[list] = []
@@ -146,13 +175,7 @@ def batched(t: Tensor, fn: Callable[[np.ndarray], tuple], *shapes: tuple[int, ..
             own, rank = np.unique(ids, return_inverse=True)
             stack = np.zeros((len(own), n * m))
             stack[rank, at] = v
-            for x in range(0, len(own), most):
-                part = own[x : x + most]
-                arrays = [pa.array(part // step % dim) for step, dim in zip(steps, t_lead)] or [pa.array(part)]
-                for f in fn(stack[x : x + most].reshape(-1, n, m)):
-                    flat = np.ascontiguousarray(f, float).reshape(len(part), -1)
-                    arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel())))
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *[f"f{k}" for k in range(len(shapes))]])
+            yield from results(own, stack)
 
         for batch in batches:
             if not len(batch):
@@ -167,14 +190,21 @@ def batched(t: Tensor, fn: Callable[[np.ndarray], tuple], *shapes: tuple[int, ..
         if held:
             yield from made()
 
-    t_lead = t.shape[:-2]
     spark = t.df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) if lead else 1
-    dealt = t.df.select(which.alias("id"), (F.col(f"x{lead}") * m + F.col(f"x{lead + 1}")).cast("int").alias("at"), F.col("v").cast("double").alias("v")).repartition(parts, "id").sortWithinPartitions("id")
     schema = ", ".join([f"{k} long" for k in keys] + [f"f{k} array<double>" for k in range(len(shapes))])
-    out = dealt.mapInArrow(run, schema)
-    out = written(out, "factors") if len(shapes) > 1 else out
-    return tuple(_factor(out, xs(lead), f"f{k}", t.shape[:-2], shape) for k, shape in enumerate(shapes))
+    if t.arrays is not None and lead:
+        rows = t.arrays
+        few = rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+        out = (rows.repartition(parts, "x0") if few else rows).mapInArrow(unpacked, schema)
+        return _factors(out, lead, t_lead, shapes)
+    dealt = t.df.select(which.alias("id"), (F.col(f"x{lead}") * m + F.col(f"x{lead + 1}")).cast("int").alias("at"), F.col("v").cast("double").alias("v")).repartition(parts, "id").sortWithinPartitions("id")
+    return _factors(dealt.mapInArrow(run, schema), lead, t_lead, shapes)
+
+
+def _factors(rows: DataFrame, lead: int, extents: tuple[int, ...], shapes: tuple[tuple[int, ...], ...]) -> tuple[Tensor, ...]:
+    rows = written(rows, "factors") if len(shapes) > 1 else rows
+    return tuple(_factor(rows, xs(lead), f"f{k}", extents, shape) for k, shape in enumerate(shapes))
 
 
 def _factor(rows: DataFrame, keys: list[str], column: str, lead: tuple[int, ...], shape: tuple[int, ...]) -> Tensor:
