@@ -57,3 +57,8 @@ def test_arrays_beyond_their_shape_are_refused(spark):
     long = read(spark, [(0, [1.0] * 9)]).reshape((5, 2, 4))
     with pytest.raises(Exception, match="more than 8 elements"):
         linalg.t_svd_values(long).df.collect()
+
+
+def test_the_gradient_of_squares_keeps_nothing(spark):
+    text = plan(queries.QUERIES["autodiff_tensor"](spark, "/root/testdata/sf0.001"))
+    assert not any(k in text for k in ("Join", "Sort", "Aggregate", "Repartition", "Window", "MapIn")) and text.count("Generate") == 1
