@@ -68,6 +68,12 @@ def discard(*tables: DataFrame) -> None:
             drop_path(df.sparkSession, path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Have the shuffle files of steps that are done deleted: Spark does so when the driver's JVM collects their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Cut the lineage: write to the shared folder, read back. Survives the loss of any executor."""
     spark = df.sparkSession

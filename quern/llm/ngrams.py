@@ -11,9 +11,13 @@ fewer words is one shingle), each a 64-bit hash. Two texts link when den * inter
    ratio den / num, and a set is cut for its own interval and for the next. A part's key is a hash of its shingles.
    A set of which so much is set aside that too many parts are empty is cut a second time with all its shingles;
    of two sets that agree in empty parts only, both are.
-3. Sets that share a key are joined to clusters: first inside each stretch of the table, so that a frequent key
-   reaches the shuffle once for each stretch, then across them.
-4. Equal sets become one class, combined before the shuffle; only one text of each goes on.
+3. The sets of a key form a group. Of a stretch of the table keys are sorted and packed before the shuffle, 32 bits and a
+   little for each and as many bits for its set as the stretch's ids differ in. What is cut off of a key may bring
+   sets together by chance, which the next step mends. Equal groups become one.
+4. The sets of a group are compared, each with each: by their sizes, and by how many shingles of each of 512 kinds are
+   an odd number, as sets that differ in d shingles differ in at most d of these bits. What may link by that, and the
+   texts of a key that more than ``CROWD`` have, are joined to clusters. So texts that share a common line, but little
+   else, form no clusters that outgrow the table. Equal sets become one class; only one text of each goes on.
 5. The texts of a cluster meet in one task, if they are few; a cluster of more than ``ROWS`` texts or ``UNIT``
    shingles is dealt to blocks of about half of that, and ``LEADERS`` texts of it, chosen by hash, go to every block,
    so that near copies in unlike blocks are connected by the leaders. Only texts that then still stand apart from the
@@ -42,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow_map, col, discard, slices, tidied, written
+from .common import BROADCAST_ROWS, arrow_map, col, discard, slices, swept, tidied, written
 from .graph import components
 from .sharding import numbered
 
@@ -53,6 +57,10 @@ STRETCH = 800_000
 #: Frequent shingles set aside (8 bytes each are broadcast), and shingles of a stretch in which they are counted.
 FREQUENT = 1 << 17
 COUNTED = 1_500_000
+#: Bits of a key that are kept, shingles for which there is one more range of keys, and ranges at most.
+KEPT, RANGE, RANGES = 48, 1_000_000, 1 << 16
+#: Bits of a sketch; texts of a key up to which each is compared with each.
+SKETCH, CROWD = 512, 4096
 #: Texts and shingles up to which a cluster is searched in one task.
 ROWS = 128
 UNIT = 1_000_000
@@ -202,17 +210,23 @@ def all_keys(x: np.ndarray, often: np.ndarray, of, parts) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """Whether the shingles of each of ``SKETCH`` kinds are an odd number: a bit for each."""
+    return np.packbits(np.bincount((x % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, f): number of shingles and fingerprint of the set."""
+    """(id, n, f, s): number of shingles, fingerprint and sketch of the set."""
 
     def factory():
         def work(texts):
             found = shingles([t or "" for t in texts.to_pylist()], k)
-            return [pa.array([len(x) for x in found], pa.int64()), pa.array([blake2b(x, digest_size=16).digest() if len(x) else None for x in found], pa.binary())]
+            prints = [blake2b(x, digest_size=16).digest() if len(x) else None for x in found]
+            return [pa.array([len(x) for x in found], pa.int64()), pa.array(prints, pa.binary()), pa.array([sketch(x) if len(x) else None for x in found], pa.binary())]
 
         return work
 
-    return arrow_map(docs, ["t"], "n long, f binary", factory, keep=["id"], budget=SPAN)
+    return arrow_map(docs, ["t"], "n long, f binary, s binary", factory, keep=["id"], budget=SPAN)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
@@ -233,9 +247,53 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     return nodes, [find(x) for x in nodes]
 
 
-def candidates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b): pairs that connect the ids of texts that share a key."""
+def packed(keys: np.ndarray, owners: np.ndarray) -> tuple[bytes, bytes, bytes, int]:
+    """Sorted keys of up to ``KEPT`` bits, as low halves and the steps of the high ones in unary, and their owners by as many bits as the largest takes."""
+    high = (keys >> np.uint64(32)).astype(np.int64)
+    steps = np.zeros(len(keys) + int(high[-1]), np.uint8)
+    steps[high + np.arange(len(keys))] = 1
+    width = max(1, int(owners.max()).bit_length())
+    bits = (owners[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
+    return keys.astype("<u4").tobytes(), np.packbits(steps).tobytes(), np.packbits(bits.astype(np.uint8)).tobytes(), width
+
+
+def unpacked(low: bytes, steps: bytes, owners: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.frombuffer(low, "<u4").astype(np.uint64)
+    n = len(keys)
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(steps, np.uint8)))[:n] - np.arange(n)
+    bits = np.unpackbits(np.frombuffer(owners, np.uint8), count=n * width).reshape(n, width)
+    return keys | (high.astype(np.uint64) << np.uint64(32)), (bits.astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+
+def met(keys: np.ndarray, ids: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The different groups of ids that have a key in common, and for larger ones than ``CROWD`` pairs that connect each."""
+    order = np.argsort(keys, kind="stable")  # merges the sorted keys of each stretch
+    keys, ids = keys[order], ids[order]
+    begin, count = runs(keys)
+    shared = np.repeat(count, count) > 1
+    keys, ids = keys[shared], ids[shared]
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    once = np.ones(len(keys), bool)
+    once[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+    keys, ids = keys[once], ids[once]
+    begin, count = runs(keys)
+    crowd = np.repeat(count > CROWD, count)
+    pairs = np.unique(np.stack([ids[crowd], np.repeat(ids[begin], count)[crowd]], 1), axis=0)
+    several = np.flatnonzero((count > 1) & (count <= CROWD))
+    if not len(several):
+        return [], pairs[:, 0], pairs[:, 1]
+    marks = np.add.reduceat(mixed(ids.view(np.uint64)), begin)
+    marks = np.stack([marks[several], ids[begin[several]].view(np.uint64), count[several].astype(np.uint64)], 1)
+    several = several[np.unique(marks, axis=0, return_index=True)[1]]
+    return [ids[b : b + c] for b, c in zip(begin[several].tolist(), count[several].tolist())], pairs[:, 0], pairs[:, 1]
+
+
+def candidates(docs: DataFrame, k: int, num: int, den: int, ranges: int) -> DataFrame:
+    """(sure, ids): groups of texts that share a key, and pairs that are connected; keys meet in so many ranges."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))
+    cut = np.uint64(64 - KEPT)
+    base = [-(-(r << KEPT) // ranges) for r in range(ranges + 1)]
 
     def local(batches):
         (of, parts), often = intervals(num, den), shared.value
@@ -244,22 +302,27 @@ def candidates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         owner: list[bytes] = []
         copies: list[tuple[int, int]] = []
         size = 0
+        names = ["r", "first", "width", "low", "steps", "own"]
 
         def flush():
             nonlocal size
             ids = np.repeat(np.array([held[f] for f in owner], np.int64), [len(x) for x in drawn])
-            keys = np.concatenate(drawn).view(np.int64)
-            order = np.lexsort((ids, keys))
-            ids, keys = ids[order], keys[order]
-            begin, count = runs(keys)
-            head = np.repeat(ids[begin], count)
-            more = head != ids
-            a, b = forest(ids[more], head[more])
+            keys = np.concatenate(drawn) >> cut
+            order = np.argsort(keys)
+            keys, ids = keys[order], ids[order]
+            first = int(ids.min())
+            own = ids.view(np.uint64) - np.array([first], np.int64).view(np.uint64)
+            at = ((keys * np.uint64(ranges)) >> np.uint64(KEPT)).astype(np.int64)
+            begin, count = runs(at)
+            rows = []
+            for b, c in zip(begin.tolist(), count.tolist()):
+                low, steps, who, width = packed(keys[b : b + c] - np.uint64(base[at[b]]), own[b : b + c])
+                rows.append((int(at[b]), first, width, low, steps, who))
             same = [(x, held[f]) for f, x in copies if x != held[f]]
-            a, b = a + [x for x, _ in same], b + [x for _, x in same]
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys[begin]), pa.array(ids[begin]), pa.nulls(len(begin), pa.int64())], names=["s", "a", "b"])
-            yield pa.RecordBatch.from_arrays([none, pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["s", "a", "b"])
+            if same:
+                rows.append((same[0][0] % ranges, None, None, None, None, np.array(same, np.int64).tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
             held.clear(), drawn.clear(), owner.clear(), copies.clear()
             size = 0
 
@@ -283,30 +346,96 @@ def candidates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             yield from flush()
 
     def across(batches):
-        last, head = None, None
+        at, held = None, []
+
+        def rows(sure, groups):
+            ends = np.cumsum([0, *map(len, groups)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(groups), pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([sure] * len(groups)), lists], names=["sure", "ids"])
+
+        def done():
+            groups, a, b = met(*(np.concatenate(c) for c in zip(*held)))
+            if groups:
+                yield rows(False, groups)
+            a, b = forest(a, b)
+            if a:
+                yield rows(True, list(zip(a, b)))
+
+        for batch in batches:
+            for r, first, width, low, steps, own in zip(*[batch.column(c).to_pylist() for c in range(6)]):
+                if low is None:
+                    yield rows(True, list(np.frombuffer(own, np.int64).reshape(-1, 2)))
+                    continue
+                if r != at and held:
+                    yield from done()
+                    held = []
+                at = r
+                keys, who = unpacked(low, steps, own, width)
+                held.append((keys, (who + np.array([first], np.int64).view(np.uint64)).view(np.int64)))
+        if held:
+            yield from done()
+
+    dealt = docs.where("id IS NOT NULL AND t IS NOT NULL").select("id", "t").mapInArrow(tidied(local), "r long, first long, width int, low binary, steps binary, own binary")
+    return dealt.repartition("r").sortWithinPartitions("r").mapInArrow(tidied(across), "sure boolean, ids array<long>")
+
+
+def alike(n: np.ndarray, s: np.ndarray, known: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each set (by place) the least place that it may be connected to, by sizes n and sketches s; those not known may link with any."""
+    root = np.arange(len(n))
+    short = np.bitwise_xor.reduce(s, 1)  # is a sketch of 64 kinds
+    for i in range(len(n) - 1):
+        j = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        if not len(j):
+            continue
+        most = (n[i] + n[j]) * (den - num)
+        ok = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & (np.bitwise_count(short[i] ^ short[j]).astype(np.int64) * (den + num) <= most)
+        at = np.flatnonzero(ok)
+        ok[at] = np.bitwise_count(s[i] ^ s[j[at]]).sum(1, dtype=np.int64) * (den + num) <= most[at]
+        j = j[ok | ~known[j] | ~known[i]]
+        if len(j):
+            joined = np.unique(root[np.append(j, i)])
+            root[np.isin(root, joined)] = joined[0]
+    return root
+
+
+def compared(groups: DataFrame, every_set: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs that connect what may link of each group, and the sure ones."""
+    sure = groups.where("sure").select(F.col("ids")[0].alias("a"), F.col("ids")[1].alias("b"))
+    members = groups.where("NOT sure").select("ids").distinct().select(F.xxhash64("ids").alias("g"), F.explode("ids").alias("id"))
+    members = written(members, "members")
+    asked = written(members.select("id").distinct(), "asked")
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    found = every_set.where("n > 0").join(F.broadcast(asked) if few else asked, "id")
+    # of an id with unlike sets nothing is known
+    found = found.groupBy("id").agg(F.first("n").alias("n"), F.when(F.min("f") == F.max("f"), F.first("s")).alias("s"))
+
+    def run(batches):
+        at, held = None, []
+
+        def pairs(rows):
+            ids, n = np.array([x[0] for x in rows], np.int64), np.array([x[1] for x in rows], np.int64)
+            known = np.array([x[2] is not None for x in rows])
+            s = np.frombuffer(b"".join(x[2] or bytes(SKETCH // 8) for x in rows), np.uint64).reshape(len(rows), -1)
+            root = alike(n, s, known, num, den)
+            more = np.flatnonzero(root != np.arange(len(rows)))
+            return ids[more], ids[root[more]]
+
         for batch in batches:
-            s, a, b = (batch.column(c) for c in range(3))
-            done = s.is_null().to_numpy(zero_copy_only=False)
-            if done.any():
-                yield pa.RecordBatch.from_arrays([a.filter(pa.array(done)), b.filter(pa.array(done))], names=["a", "b"])
-            keys = s.drop_null().to_numpy()
-            ids = a.filter(pa.array(~done)).to_numpy()
-            if not len(keys):
-                continue
-            begin, count = runs(keys)
-            first = ids[begin].copy()
-            if last is not None and keys[0] == last:
-                first[0] = head
-            last, head = keys[-1], first[-1]
-            heads = np.repeat(first, count)
-            more = heads != ids
-            if more.any():
-                x, y = forest(ids[more], heads[more])
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
-
-    rows = docs.where("id IS NOT NULL AND t IS NOT NULL").select("id", "t").mapInArrow(tidied(local), "s long, a long, b long")
-    key = F.coalesce("s", "a")
-    return rows.repartition(key).sortWithinPartitions("s", "a").mapInArrow(tidied(across), "a long, b long")
+            a, b = [], []
+            for g, *row in zip(*[batch.column(c).to_pylist() for c in range(4)]):
+                if g != at and held:
+                    x, y = pairs(held)
+                    a.append(x), b.append(y)
+                    held = []
+                at = g
+                held.append(row)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(held)], names=["a", "b"])
+
+    rows = members.join(found, "id").select("g", "id", "n", "s").repartition("g").sortWithinPartitions("g", "n", "id")
+    return rows.mapInArrow(tidied(run), "a long, b long").union(sure).distinct()
 
 
 def merge(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -531,7 +660,12 @@ def link(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, num
     copies = every_set.where("n > 0 AND id IS NOT NULL").select("id", "f").join(classes.select("f", F.col("id").alias("rep")), "f").where("id <> rep")
     copies = copies.join(classes.select("id"), "id", "left_anti").groupBy("id").agg(F.min("rep").alias("rep"))
     copies = written(copies, "copies")
-    pairs = shared = written(candidates(docs, k, num, den), "pairs")
+    shingled = classes.agg(F.sum("n")).first()[0] or 0
+    ranges = min(RANGES, max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shingled // RANGE))
+    groups = written(candidates(docs, k, num, den, ranges), "groups")
+    swept(docs.sparkSession)
+    pairs = shared = written(compared(groups, every_set, num, den), "pairs")
+    discard(groups)
     for end in ("a", "b"):
         pairs = pairs.join(copies.select(F.col("id").alias(end), F.col("rep").alias(f"{end}_of")), end, "left").withColumn(end, F.coalesce(f"{end}_of", end)).drop(f"{end}_of")
     nodes, large = clusters(classes, components(pairs))
@@ -540,6 +674,7 @@ def link(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, num
     twice = every_set.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("f").alias("f"), F.max("f").alias("g")).where("f <> g").select("id")
     tied = every_set.join(twice, "id", "left_semi").join(classes.select("f", F.col("id").alias("rep")), "f").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     near = written(links(docs, nodes, k, num, den).union(tied), "links")
+    swept(docs.sparkSession)
     found = components(near)
     if not large.isEmpty():
         more = apart(docs, nodes, large, found, k, num, den)
