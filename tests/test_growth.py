@@ -84,3 +84,20 @@ def test_sparse_products_are_added_up_in_tiles(spark, monkeypatch):
         rows = got.df.collect()
         assert len(rows) == len({(r.x0, r.x1) for r in rows}) == np.count_nonzero(a @ b)
         assert np.array_equal(got.to_numpy(), a @ b)
+
+
+def test_zeros_are_filled_in_down_the_columns(spark, monkeypatch):
+    """A file's dictionaries hold few values of long axes: the last coordinate stays for a whole column of a block."""
+    monkeypatch.setattr("quern.operators.tensor.GAP", 64)
+    monkeypatch.setattr("quern.operators.tensor.TALL", 16, raising=False)
+    rng = np.random.default_rng(3)
+    for shape in ((33, 50), (5, 7, 40), (150,), (3, 200), (700, 2), (1, 1), (64, 1)):
+        a = np.where(rng.random(shape) < 0.1, rng.integers(1, 9, shape), 0).astype(float)
+        cells = [(tuple(map(int, i)), float(a[tuple(i)])) for i in np.argwhere(a)] or [((0,) * a.ndim, 0.0)]
+        t = Tensor.load(spark, shape, cells, "f64").to_dense()
+        parts = t.df.rdd.glom().collect()
+        assert sum(map(len, parts)) == a.size == len({tuple(r)[:-1] for p in parts for r in p})
+        assert all(a[tuple(r)[:-1]] == r.v for p in parts for r in p)
+        if shape == (33, 50):
+            changes = sum(x.x1 != y.x1 for p in parts for x, y in zip(p, p[1:]))
+            assert changes <= a.size / 11  # 33 rows in three bands
