@@ -101,3 +101,18 @@ def test_zeros_are_filled_in_down_the_columns(spark, monkeypatch):
         if shape == (33, 50):
             changes = sum(x.x1 != y.x1 for p in parts for x, y in zip(p, p[1:]))
             assert changes <= a.size / 11  # 33 rows in three bands
+
+
+def test_a_file_of_a_sparse_product_has_few_columns(spark, monkeypatch):
+    from quern.operators import block
+
+    rng = np.random.default_rng(6)
+    a, b = (np.where(rng.random(shape) < 0.3, rng.integers(1, 4, shape), 0).astype(float) for shape in ((60, 40), (40, 90)))
+    sparse = lambda m: Tensor.load(spark, m.shape, [((int(i), int(j)), float(m[i, j])) for i, j in zip(*m.nonzero())], "f64")
+    monkeypatch.setattr("quern.operators.tensor.JOINED", 100)
+    for name, n in (("JOINED", 100), ("BAND", 300), ("PRODUCTS", 1000), ("STRIP", 8)):
+        monkeypatch.setattr(block, name, n, raising=False)
+    parts = (sparse(a) @ sparse(b)).df.rdd.glom().collect()
+    assert max(len({r.x1 for r in p}) for p in parts) <= 8
+    assert {(r.x0, r.x1): r.v for p in parts for r in p} == {(int(i), int(j)): (a @ b)[i, j] for i, j in zip(*(a @ b).nonzero())}
+    assert sum(map(len, parts)) == np.count_nonzero(a @ b)
